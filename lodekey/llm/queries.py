@@ -38,7 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-_SHA1_BASE32 = f"""array_to_string(list_transform(range(32), i -> substr('{_BASE32}', ((('0x' || substr(hex, ((i // 8) * 10 + 1)::INT, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31)::INT + 1, 1)), '')"""
+_SHA1_BASE32 = f"""array_to_string(list_transform(range(32), lambda i: substr('{_BASE32}', ((('0x' || substr(hex, ((i // 8) * 10 + 1)::INT, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31)::INT + 1, 1)), '')"""
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": f"""
