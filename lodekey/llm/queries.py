@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodekey.llm import chat, staging, warc
+from lodekey.llm import bpe, chat, chunking, media, packing, warc
 from lodekey.llm.staging import table
 
 
@@ -16,6 +16,26 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", F.col("payload_bytes").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -34,7 +54,11 @@ _LAYOUT = len(chat.START) + len(chat.SEP) + len(chat.END)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_media_columns": op3_media_columns,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_chat_format": op5_chat_format,
+    "op10_chunk_fingerprints": op10_chunk_fingerprints,
 }
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
