@@ -33,7 +33,7 @@ from lodekey.llm import staging, wordtokens
 
 CAPACITY = 4096
 END_ID = 1
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 2_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -181,9 +181,8 @@ def number_within(df: DataFrame, key: str, order: list, name: str) -> DataFrame:
     Rows of a key are dealt to blocks of about ``BLOCK_ROWS`` by a hash of
     their order columns; blocks get running offsets from their counts.
     """
-    total = df.count()
-    blocks = max(1, total // BLOCK_ROWS)
-    dealt = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
+    sizes = df.groupBy(key).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_blocks"))
+    dealt = df.join(sizes, key).withColumn("_block", F.pmod(F.xxhash64(*order), "_blocks")).drop("_blocks")
     counts = dealt.groupBy(key, "_block").agg(F.count("*").alias("_n"))
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inner = Window.partitionBy(key, "_block").orderBy(*order)
