@@ -145,10 +145,12 @@ def canonical_turns_json(df: DataFrame, record: str = "record", conv_id: str = "
     inner = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
     lists = sorted({m.messages for m in MAPPINGS if m.messages})
     rows = rows.select("conv_id", "m", *[F.from_json(F.col("m")[x], inner).alias(f"l_{x}") for x in lists])
-    nested = [
-        F.transform(F.array_distinct(F.flatten(F.transform(F.coalesce(F.col(f"l_{x}"), F.array().cast(inner)), F.map_keys))), lambda k, x=x: F.concat(F.lit(f"{x}[]."), k))
-        for x in lists
-    ]
+
+    def below(x: str) -> Column:
+        keys = F.flatten(F.transform(F.coalesce(F.col(f"l_{x}"), F.array().cast(inner)), lambda m: F.map_keys(m)))
+        return F.transform(F.array_distinct(keys), lambda k: F.concat(F.lit(f"{x}[]."), k))
+
+    nested = [below(x) for x in lists]
     flat = F.filter(F.map_keys("m"), lambda k: k.isin([n for n in names if n not in lists]))
     paths = F.filter(F.concat(flat, *nested), lambda p: p.isin(sorted(KNOWN_PATHS)))
     rows = rows.withColumn("fp", F.sha2(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"), 256))
