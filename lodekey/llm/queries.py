@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodekey.llm import bpe, chat, chunking, media, packing, sharding, simhash, toxicity, warc
+from lodekey.llm import bpe, chat, chunking, media, packing, sharding, simhash, suffixes, toxicity, warc
 from lodekey.llm.staging import table
 
 
@@ -43,6 +43,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_kd_sharding": op9_kd_sharding,
     "op10_chunk_fingerprints": op10_chunk_fingerprints,
 }
