@@ -60,15 +60,19 @@ def simhash(hashes: list[int]) -> int:
     return int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` of ``docs``, and ``_fp``, the fingerprint as a signed long."""
+    keep = keep or ["doc_id"]
+    at = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.array([simhash(shingle_hashes(t or "", width)) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            got = np.array([simhash(shingle_hashes(t or "", width)) for t in b.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(got.view(np.int64))], names=[*keep, "_fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    chosen = docs.select(*keep) if at < len(keep) else docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    return chosen.mapInArrow(run, f"{types}, _fp long")
 
 
 def _segments(n: int) -> list[tuple[int, int]]:
@@ -105,12 +109,28 @@ def links(classes: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS
     return stored.join(asked.hint("merge"), (stored.key == asked.key) & (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)).select("u", "v")
 
 
+def class_labels(rows: DataFrame, distance: int, segments: int) -> DataFrame:
+    """``fp``, ``first_id`` and the ``label`` of its component of each class."""
+    classes = staging.stage(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("first_id")), "classes")
+    labels = components(links(classes.select("fp"), distance, segments))
+    return classes.join(labels, classes.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` of every row."""
     staging.ship(docs.sparkSession)
     got = staging.stage(fingerprints(docs, width), "fingerprints")
-    classes = staging.stage(got.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    labels = components(links(classes.select("fp"), distance, segments))
-    grouped = classes.join(labels, classes.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    ids = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    return got.join(grouped.join(ids, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    labels = class_labels(got, distance, segments)
+    ids = labels.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    named = labels.join(ids, "label").select("fp", "component_id")
+    return got.join(named, got["_fp"] == named["fp"]).select("doc_id", "fp", "component_id")
+
+
+def one_per_component(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """One row of each component, unchanged: that of the smallest ``doc_id``."""
+    staging.ship(docs.sparkSession)
+    got = staging.stage(fingerprints(docs, width, docs.columns).withColumn("_row", F.monotonically_increasing_id()), "fingerprints")
+    labels = class_labels(got, distance, segments).select("fp", "label")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    first = got.select("doc_id", "_row", "_fp").join(labels, F.col("_fp") == F.col("fp")).groupBy("label").agg(F.min(key).alias("k"))
+    return got.join(first.select(F.col("k._row").alias("_row")), "_row", "left_semi").select(*docs.columns)

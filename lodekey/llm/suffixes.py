@@ -489,10 +489,13 @@ def covered(n: int, copies: int, spans: list | None) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], text: bool = False, hot: int = HOT) -> DataFrame:
-    """Columns ``keep`` with digests of what stays, and the text itself if asked for."""
+    """Columns ``keep`` with digests of what stays, and ``kept``, its text, if asked for.
+
+    A character that a repeat begins or ends inside of is left out of ``kept``.
+    """
     found, folder = find_repeats(docs, keep, hot)
     types = {f.name: f.dataType.simpleString() for f in found.schema}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept binary"] * text)])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept string"] * text)])
     changed = F.col("n_bytes") >= 0 if text else F.col("spans").isNotNull() & (F.col("copies") == 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -511,8 +514,10 @@ def remove_repeats(docs: DataFrame, keep: list[str], text: bool = False, hot: in
                         continue
                     left = b"" if gone == r["n_bytes"] else b"".join(whole[x:y] for x, y in zip([0, *(y for _, y in cut)], [*(x for x, _ in cut), r["n_bytes"]], strict=True))
                     kept.append((r["n_bytes"], gone, len(cut), hashlib.sha256(left).hexdigest(), left))
-                made = [pa.array(c, t) for c, t in zip(zip(*kept, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made[: 4 + text]], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] * text)])
+                if text:
+                    kept = [(*k[:4], k[4].decode("utf-8", "ignore")) for k in kept]
+                made = [pa.array(c, t) for c, t in zip(list(zip(*kept, strict=True))[: 4 + text], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())[: 4 + text], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] * text)])
 
     order = found.repartition("task").sortWithinPartitions("task", "place") if text else found.filter(changed).repartition("task").sortWithinPartitions("task", "place")
     out = order.select(*keep, "n_bytes", "sha", "copies", "spans", "task", "place", "packed").mapInArrow(run, schema)

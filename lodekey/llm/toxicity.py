@@ -251,21 +251,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
 
 
 def score_documents(docs: DataFrame, net: Network | None, keep: list[str] | None = None) -> DataFrame:
-    """Adds ``score`` to the columns ``keep`` of ``docs``."""
+    """Columns ``keep`` of ``docs`` and ``score``."""
     spark = docs.sparkSession
     staging.ship(spark)
     keep = keep or ["doc_id"]
     model = spark.sparkContext.broadcast(net)
+    at = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
+            texts = [t or "" for t in b.column(at).to_pylist()]
             for part in _portions(texts):
                 score = np.zeros(len(part)) if model.value is None else model.value.scores([texts[i] for i in part])
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(part.start, len(part)) for i in range(b.num_columns - 1)), pa.array(score, pa.float64())], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(part.start, len(part)) for i in range(len(keep))), pa.array(score, pa.float64())], names=[*keep, "score"])
 
+    chosen = docs.select(*keep) if at < len(keep) else docs.select(*keep, F.col("text").cast("string").alias("_text"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, f"{types}, score double")
+    return chosen.mapInArrow(run, f"{types}, score double")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that score under the threshold, unchanged."""
+    return score_documents(docs, fit(docs, labels), docs.columns).filter(F.col("score") < THRESHOLD).drop("score")
 
 
 def _portions(texts: list[str], chars: int = 1 << 20) -> Iterator[range]:
