@@ -12,7 +12,7 @@ first by a hash of ``doc_id``; texts of up to ``MAX_TRAIN_BYTES``), never
 rows of the held-out fold.  The model has a fixed size and is broadcast.
 
 Defined results: null, empty and wordless texts score 0;
-repeated rows get equal scores; a null ``doc_id`` is not held out;
+repeated rows get equal scores, up to rounding; a null ``doc_id`` is not held out;
 without labelled rows of both kinds every score is 0; repeated labels of a
 document count once, the largest; extra columns are ignored; an empty table
 gives no rows.
