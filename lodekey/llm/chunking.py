@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from lodekey.llm import staging
 
-REACH, MIN, NORMAL, MAX = 32, 32, 128, 512
-RARE_BITS, COMMON_BITS = 8, 6  # NORMAL is 2^7
+REACH, MIN, NORMAL, MAX = 32, 32, 64, 256
+RARE_BITS, COMMON_BITS = 7, 5  # NORMAL is 2^6
 GROUPS_PER_PARTITION = 4
 _NO_ID = -(2**63)
 
