@@ -143,6 +143,23 @@ def response_of(state):
     return F.when(state.isin("PREPARED", "COMMITTING", "COMMITTED"), "committed").when(state.isin("CANCELLING", "CANCELLED"), "cancelled").otherwise("in_progress")
 
 
+def pending_counts(locks: DataFrame) -> DataFrame:
+    """Locks of each hash key and of how many transactions they are."""
+    return locks.groupBy("hk").agg(F.count("*").alias("locks"), F.countDistinct("transaction_id").alias("transactions"))
+
+
+def pending_page(locks: DataFrame, n: int, after: tuple[bytes, bytes, str] | None = None) -> DataFrame:
+    """The next ``n`` locks in the order of key and transaction."""
+    if after is not None:
+        locks = locks.filter(F.struct("hk", "sk", "transaction_id") > F.struct(*[F.lit(x) for x in after]))
+    return locks.orderBy("hk", "sk", "transaction_id").limit(n)
+
+
+def release(locks: DataFrame, done: DataFrame) -> DataFrame:
+    """The locks that are left after transactions ended."""
+    return locks.join(done.select("transaction_id").distinct(), "transaction_id", "left_anti")
+
+
 def stale_transactions(locks: DataFrame, now_ms: int, most: int | None = None) -> DataFrame:
     """Transactions with a lock older than allowed."""
     old = locks.filter(F.col("created_at") < now_ms - STALE_LOCK_MS).select("transaction_id").distinct()

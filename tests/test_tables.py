@@ -11,7 +11,7 @@ from lodekey.operators.query import SubQuery, query_items
 from lodekey.plans.conditions import ITEM_NOT_EXISTS, attribute_equals, evaluate
 from lodekey.plans.intervals import Condition
 from lodekey.schema import ITEM, PENDING, TX_ITEM
-from lodekey.sources.store import ConditionFailed, LayoutError, Table, TableConfig
+from lodekey.sources.store import ConditionFailed, LayoutError, Table, TableConfig, WriteOperation
 
 
 def items(spark, rows):
@@ -241,3 +241,34 @@ def test_stream_publishes(spark, tmp_path):
         publish_batches(source, t, str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
         got = {bytes(r.hk): (r.v, r.last_transaction_ts, r.data_text) for r in t.items().collect()}
         assert got == ({b"a": (1, 5, "x"), b"b": (1, 6, "y")} if n == 0 else {b"a": (2, 5, "z")})
+
+
+def test_stored_transactions(spark, tmp_path):
+    t = Table(spark, str(tmp_path), TableConfig("tx"))
+    put = lambda k, d="x", **o: WriteOperation("put", k, data=d, **o)
+    many = [put(f"k{i}") for i in range(100)]
+    assert t.transact_write(many, 100, token="one") == ("committed", None)
+    assert t.transact_write(list(reversed(many)), 100, token="one") == ("committed", None)
+    assert t.items().agg(F.max("v")).first()[0] == 1
+    with pytest.raises(ValueError, match="token"):
+        t.transact_write(many[:5], 200, token="one")
+    assert t.transact_write([put("k0"), WriteOperation("check", "none", conditions=[{"type": "item_exists"}])], 200) == ("cancelled", "condition_failed")
+    assert t.get_item("k0")["v"] == 1
+    assert t.transact_write([put("k0", b"\x00\x01")], 100) == ("cancelled", "timestamp_conflict")
+    assert t.transact_write([put("k0", b"\x00\x01"), WriteOperation("delete", "k1")], 300) == ("committed", None)
+    assert bytes(t.get_item("k0")["data_bin"]) == b"\x00\x01"
+    assert t.transact_write([put("k1")], 300) == ("cancelled", "timestamp_conflict")
+    got = t.transact_get([("k2", None), ("k1", None), ("k2", None), ("k0", None)])
+    assert [r and r["v"] for r in got] == [1, None, 1, 2]
+    for bad in ([put("a"), put("a")], [WriteOperation("put", "a")], [WriteOperation("check", "a")], [put(f"k{i}") for i in range(101)], []):
+        with pytest.raises(ValueError):
+            t.transact_write(bad, 400)
+
+
+def test_locks(spark):
+    locks = spark.createDataFrame([(b"a", b"", "t1", 1, 1, "put"), (b"a", b"x", "t2", 1, 1, "put"), (b"b", b"", "t1", 1, 1, "put")], PENDING)
+    assert {bytes(r.hk): (r.locks, r.transactions) for r in transactions.pending_counts(locks).collect()} == {b"a": (2, 2), b"b": (1, 1)}
+    first = transactions.pending_page(locks, 1).first()
+    rest = transactions.pending_page(locks, 5, (bytes(first.hk), bytes(first.sk), first.transaction_id)).collect()
+    assert [(bytes(r.hk), bytes(r.sk)) for r in rest] == [(b"a", b"x"), (b"b", b"")]
+    assert transactions.release(locks, spark.createDataFrame([("t1",)], "transaction_id string")).count() == 1
