@@ -16,9 +16,11 @@ place, so only anchors that occur again can be in a repeated string.
    binary search over prefix hashes, brings equal cores together; then equal
    surroundings, and only at the edges of repeats single strings, are
    compared.  What the hashes call equal is compared byte by byte.
-4. Anchors of over ``HOT`` places don't meet in one task: the same blocks are
-   compared by counting 64-bit hashes of cores, of surroundings and, at the
-   edges, of strings, which Spark can combine and split.
+4. Anchors of over ``HOT`` places don't meet in one task: they are compared by
+   counting 64-bit hashes, which Spark can combine and split.  First come
+   whole runs of strings; of runs alike, one stands for all.  Then the same
+   blocks as above, by hashes of cores and of surroundings, and at the edges
+   of repeats single strings.
 
 Defined results: null text is empty; texts of under ``LENGTH`` bytes hold no
 such string; repeated rows repeat each other; extra columns are kept where
@@ -338,14 +340,15 @@ def _candidates(firsts: DataFrame) -> DataFrame:
     return each.join(counts, "kh")
 
 
-_CONTEXT = "kh long, rid long, pos int, least int, most int, anchor int, context binary, core long, hull long, block int"
+_CONTEXT = "kh long, rid long, pos int, least int, most int, anchor int, context binary, whole long, blocks array<struct<block:int,core:long,hull:long>>"
 
 
 def _surroundings(chosen: DataFrame, folder: str, hot: int) -> DataFrame:
-    """Contexts of anchors; of hot ones a row of hashes per block instead."""
+    """Contexts of anchors; of hot ones hashes of the run and its blocks instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+        hashes = pa.list_(pa.struct([("block", pa.int32()), ("core", pa.int64()), ("hull", pa.int64())]))
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), hashes)
         names = [x.split(" ")[0] for x in _CONTEXT.split(", ")]
         make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
         rows, size = [], 0
@@ -357,12 +360,13 @@ def _surroundings(chosen: DataFrame, folder: str, hot: int) -> DataFrame:
                     if a["n"] <= hot:
                         start = max(0, pos - (most // BLOCK * BLOCK + BLOCK - 1))
                         cut = text[start : pos - least // BLOCK * BLOCK + LENGTH]
-                        rows.append((a["kh"], r["rid"], pos, least, most, pos - start, cut, None, None, None))
+                        rows.append((a["kh"], r["rid"], pos, least, most, pos - start, cut, None, None))
                         size += len(cut) + 100
                     else:
-                        for block, core, hull in _block_hashes(text, a["kh"], pos, least, most):
-                            rows.append((a["kh"], r["rid"], pos, least, most, None, None, core, hull, block))
-                            size += 100
+                        blocks = list(_block_hashes(text, a["kh"], pos, least, most))
+                        whole = _signed(xxhash.xxh64_intdigest(memoryview(text)[pos - most : pos - least + LENGTH], least * 1024 + most))
+                        rows.append((a["kh"], r["rid"], pos, least, most, None, None, whole, blocks))
+                        size += 50 + 40 * len(blocks)
                 if size > BATCH_BYTES:
                     yield make(rows)
                     rows, size = [], 0
@@ -376,14 +380,14 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _block_hashes(text: bytes, kh: int, pos: int, least: int, most: int) -> Iterator[tuple[int, int, int]]:
+def _block_hashes(text: bytes, kh: int, pos: int, least: int, most: int) -> Iterator[dict]:
     """Hashes of cores, one for each anchor and block, and of surroundings."""
     view = memoryview(text)
     for block in range(least // BLOCK, most // BLOCK + 1):
         core = pos - BLOCK * block
         left, right = max(0, core - (BLOCK - 1)), min(len(text), core + LENGTH)
         shape = (core - left) * 1024 + right - core
-        yield block, _signed(xxhash.xxh64_intdigest(view[core : core + _CORE], (kh + block) % (1 << 64))), _signed(xxhash.xxh64_intdigest(view[left:right], shape))
+        yield {"block": block, "core": _signed(xxhash.xxh64_intdigest(view[core : core + _CORE], (kh + block) % (1 << 64))), "hull": _signed(xxhash.xxh64_intdigest(view[left:right], shape))}
 
 
 REPEATS = "rid long, first int, last int"
@@ -415,19 +419,24 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
     return contexts.select("kh", "rid", "pos", "least", "most", "anchor", "context").repartition("kh").sortWithinPartitions("kh", "rid", "pos").mapInArrow(run, REPEATS)
 
 
-def _counted_repeats(blocks: DataFrame, places: DataFrame, folder: str) -> DataFrame:
-    """Repeats among the blocks of hot anchors, by counting hashes."""
-    at = blocks.select("rid", "core", "hull", "pos", "block", "least", "most", F.xxhash64("rid", F.col("pos") - BLOCK * F.col("block")).alias("where"))
+def _counted_repeats(anchors: DataFrame, places: DataFrame, folder: str) -> DataFrame:
+    """Repeats among hot anchors, by counting hashes."""
+    run_at = anchors.select("kh", "whole", "rid", "pos", "least", "most", "blocks", F.xxhash64("rid", "pos").alias("where"))
+    wholes = run_at.groupBy("kh", "whole").agg(F.min("where").alias("w_min"), F.max("where").alias("w_max"))
+    runs = run_at.join(wholes, ["kh", "whole"])
+    repeated = runs.filter("w_min < w_max").select("rid", (F.col("pos") - F.col("most")).alias("first"), (F.col("pos") - F.col("least")).alias("last"))
+    # the blocks of one run of those alike: they matter to others, and to itself if it is alone
+    ones = runs.filter("`where` = w_min").select("rid", "pos", "least", "most", (F.col("w_min") == F.col("w_max")).alias("alone"), F.inline("blocks"))
+    at = ones.select("rid", "core", "hull", "pos", "block", "least", "most", "alone", F.xxhash64("rid", F.col("pos") - BLOCK * F.col("block")).alias("where"))
     hulls = at.groupBy("core", "hull").agg(F.min("where").alias("h_min"), F.max("where").alias("h_max"))
     cores = hulls.groupBy("core").agg(F.count("*").alias("n_hulls"), F.min("h_min").alias("c_min"), F.max("h_max").alias("c_max")).filter("c_min < c_max").select("core", "n_hulls")
-    known = hulls.join(cores, "core")
-    of_block = at.join(known, ["core", "hull"])
+    of_block = at.join(hulls.join(cores, "core"), ["core", "hull"])
     first = F.col("pos") - F.least(F.col("most"), BLOCK * F.col("block") + BLOCK - 1)
     last = F.col("pos") - F.greatest(F.col("least"), BLOCK * F.col("block"))
     of_block = of_block.withColumns({"first": first, "last": last})
-    full = of_block.filter("h_min < h_max").select("rid", "first", "last")
+    full = repeated.unionByName(of_block.filter("alone and h_min < h_max").select("rid", "first", "last"))
     # one block of each different surrounding, where a core has several
-    edge = of_block.filter("n_hulls > 1 and `where` = h_min").select("rid", "first", "last", (F.col("h_min") == F.col("h_max")).alias("single"))
+    edge = of_block.filter("n_hulls > 1 and `where` = h_min").select("rid", "first", "last", (F.col("alone") & (F.col("h_min") == F.col("h_max"))).alias("single"))
     listed = edge.groupBy("rid").agg(F.collect_list(F.struct("first", "last", "single")).alias("blocks")).join(places, "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,7 +478,7 @@ def find_repeats(docs: DataFrame, keep: list[str], hot: int = HOT) -> tuple[Data
     chosen = found.groupBy("rid", "task", "place", "packed").agg(F.collect_list(F.struct("kh", "pos", "lo", "hi", "n")).alias("found"))
     chosen = chosen.repartition("task").sortWithinPartitions("task", "place")
     near = staging.stage(_surroundings(chosen.select("rid", "task", "place", "packed", "found"), folder, hot), "surroundings")
-    repeats = _sorted_repeats(near.filter("block is null")).unionByName(_counted_repeats(near.filter("block is not null"), places, folder))
+    repeats = _sorted_repeats(near.filter("blocks is null")).unionByName(_counted_repeats(near.filter("blocks is not null"), places, folder))
     spans = staging.stage(repeats.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
     out = rows.drop("anchors", "first").join(shas.select("sha", "copies"), "sha", "left").join(spans, "rid", "left")
     return out.withColumn("copies", F.coalesce("copies", F.lit(1))), folder
