@@ -49,8 +49,11 @@ BATCH_BYTES = 2 << 20
 _SPAN = LENGTH - PART  # an anchor begins at most so far behind its string
 _CORE = LENGTH - BLOCK + 1
 _POSITION = 21  # bits of a place in a buffer of texts
+# Packed numbers: rid is the task's and the row's, loc where a packed text
+# begins and its size, a spot where an anchor and its first and last strings begin.
+_ROW_BITS, _SIZE_BITS, _REACH_BITS = 33, 28, 10
 
-READ = "rid long, task int, place long, packed int, n_bytes long, sha string, first boolean, anchors array<struct<kh:long,pos:int,lo:int,hi:int>>"
+READ = "rid long, loc long, n_bytes long, sha string, first boolean, anchors array<long>, spots array<long>"
 
 
 # ---------------------------------------------------------------------- anchors
@@ -103,7 +106,7 @@ def find_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def read_texts(docs: DataFrame, folder: str, keep: list[str]) -> DataFrame:
     """One row per row of ``docs``: its text's place, digest and anchors."""
     schema = ", ".join([READ, *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)])
-    anchor_type = pa.list_(pa.struct([("kh", pa.int64()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]))
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -130,20 +133,20 @@ def read_texts(docs: DataFrame, folder: str, keep: list[str]) -> DataFrame:
                     found = find_anchors([part[i] for i in fresh])
                     count = np.zeros(len(part), np.int64)
                     count[fresh] = np.bincount(found[0], minlength=len(fresh))
-                    values = pa.StructArray.from_arrays([pa.array(found[1]), *(pa.array(x.astype(np.int32)) for x in found[2:])], names=["kh", "pos", "lo", "hi"])
+                    spot = found[2] << 2 * _REACH_BITS | (found[2] - found[3]) << _REACH_BITS | (found[2] - found[4])
+                    bounds = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32))
                     is_first = np.zeros(len(part), bool)
                     is_first[fresh] = True
                     n = len(part)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.arange(row, row + n) + (task << 33)),
-                            pa.array(np.full(n, task, np.int32)),
-                            pa.array([p[0] for p in place], pa.int64()),
-                            pa.array([p[1] for p in place], pa.int32()),
+                            pa.array(np.arange(row, row + n) + (task << _ROW_BITS)),
+                            pa.array([p[0] << _SIZE_BITS | p[1] for p in place], pa.int64()),
                             pa.array([len(t) for t in part], pa.int64()),
                             pa.array([d.hex() for d in sha]),
                             pa.array(is_first),
-                            pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), values).cast(anchor_type),
+                            pa.ListArray.from_arrays(bounds, pa.array(found[1])).cast(longs),
+                            pa.ListArray.from_arrays(bounds, pa.array(spot)).cast(longs),
                             *(b.column(i).slice(start, n) for i in range(b.num_columns - 1)),
                         ],
                         names=[x.strip().split(" ")[0] for x in READ.split(", ")] + keep,
@@ -169,20 +172,26 @@ def _portions(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]
         yield start, len(sizes)
 
 
-def texts_at(folder: str, places: Iterator[tuple[int, int, int]]) -> Iterator[bytes]:
-    """Texts by (task, place, packed); each archive stays open while it is used."""
+def texts_at(folder: str, rows: Iterator[tuple[int, int]]) -> Iterator[bytes]:
+    """Texts by (rid, loc); each archive stays open while it is used."""
     import contextlib
 
     import zstandard
 
     unpack, now = zstandard.ZstdDecompressor(), None
     with contextlib.ExitStack() as stack:
-        for task, place, packed in places:
-            if task != now:
+        for rid, loc in rows:
+            if rid >> _ROW_BITS != now:
                 stack.close()
-                f, now = stack.enter_context(files.reading(archive(folder, task))), task
-            f.seek(place)
-            yield unpack.decompress(f.read(packed))
+                now = rid >> _ROW_BITS
+                f = stack.enter_context(files.reading(archive(folder, now)))
+            f.seek(loc >> _SIZE_BITS)
+            yield unpack.decompress(f.read(loc & (1 << _SIZE_BITS) - 1))
+
+
+def _by_archive(df: DataFrame) -> DataFrame:
+    """Rows dealt to tasks by their archive, in its order."""
+    return df.withColumn("_task", F.shiftright("rid", _ROW_BITS)).repartition("_task").sortWithinPartitions("_task", "loc").drop("_task")
 
 
 # ------------------------------------------------------------- the suffix sort
@@ -333,47 +342,70 @@ def repeated_in_groups(kh: np.ndarray, contexts: list[bytes], anchor: np.ndarray
 # ----------------------------------------------------------------------- tables
 
 
-def _candidates(firsts: DataFrame) -> DataFrame:
-    """Anchors that occur again, one row each, with how often (``n``)."""
-    each = firsts.select("rid", "task", "place", "packed", F.explode("anchors").alias("a")).select("rid", "task", "place", "packed", F.col("a.kh").alias("kh"), F.col("a.pos").alias("pos"), F.col("a.lo").alias("lo"), F.col("a.hi").alias("hi"))
-    counts = each.groupBy("kh").agg(F.count("*").alias("n")).filter("n > 1")
+def _candidates(firsts: DataFrame, hot: int) -> DataFrame:
+    """Anchors that occur again, one row each, and whether in over ``hot`` places."""
+    each = firsts.select("rid", "loc", F.explode(F.arrays_zip("anchors", "spots")).alias("a")).select("rid", "loc", F.col("a.anchors").alias("kh"), F.col("a.spots").alias("spot"))
+    counts = each.groupBy("kh").agg(F.count("*").alias("n")).filter("n > 1").select("kh", (F.col("n") > hot).alias("hot"))
     return each.join(counts, "kh")
 
 
-_CONTEXT = "kh long, rid long, pos int, least int, most int, anchor int, context binary, whole long, blocks array<struct<block:int,core:long,hull:long>>"
+def _anchor(spot: int) -> tuple[int, int, int]:
+    """Where an anchor begins, and how far before it its last and first strings do."""
+    mask = (1 << _REACH_BITS) - 1
+    return spot >> 2 * _REACH_BITS, spot & mask, spot >> _REACH_BITS & mask
+
 
+_CONTEXT = "kh long, rid long, pos int, least int, most int, anchor int, context binary"
+_RUN = "kh long, rid long, pos int, least int, most int, whole long, blocks array<struct<block:int,core:long,hull:long>>"
 
-def _surroundings(chosen: DataFrame, folder: str, hot: int) -> DataFrame:
-    """Contexts of anchors; of hot ones hashes of the run and its blocks instead."""
+
+def _at_anchors(chosen: DataFrame, folder: str, schema: str, types: tuple, one) -> DataFrame:
+    """Rows that ``one`` makes of each anchor's text, key, place and strings."""
+    names = [x.split(" ")[0] for x in schema.split(", ")][: len(types)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = pa.list_(pa.struct([("block", pa.int32()), ("core", pa.int64()), ("hull", pa.int64())]))
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), hashes)
-        names = [x.split(" ")[0] for x in _CONTEXT.split(", ")]
         make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
         rows, size = [], 0
         for b in batches:
             listed = b.to_pylist()
-            for r, text in zip(listed, texts_at(folder, ((r["task"], r["place"], r["packed"]) for r in listed)), strict=True):
+            for r, text in zip(listed, texts_at(folder, ((r["rid"], r["loc"]) for r in listed)), strict=True):
                 for a in r["found"]:
-                    pos, least, most = a["pos"], a["pos"] - a["hi"], a["pos"] - a["lo"]
-                    if a["n"] <= hot:
-                        start = max(0, pos - (most // BLOCK * BLOCK + BLOCK - 1))
-                        cut = text[start : pos - least // BLOCK * BLOCK + LENGTH]
-                        rows.append((a["kh"], r["rid"], pos, least, most, pos - start, cut, None, None))
-                        size += len(cut) + 100
-                    else:
-                        blocks = list(_block_hashes(text, a["kh"], pos, least, most))
-                        whole = _signed(xxhash.xxh64_intdigest(memoryview(text)[pos - most : pos - least + LENGTH], least * 1024 + most))
-                        rows.append((a["kh"], r["rid"], pos, least, most, None, None, whole, blocks))
-                        size += 50 + 40 * len(blocks)
+                    row, weight = one(text, a["kh"], *_anchor(a["spot"]))
+                    rows.append((a["kh"], r["rid"], *row))
+                    size += weight
                 if size > BATCH_BYTES:
                     yield make(rows)
                     rows, size = [], 0
         if rows:
             yield make(rows)
 
-    return chosen.mapInArrow(run, _CONTEXT)
+    listed = chosen.groupBy("rid", "loc").agg(F.collect_list(F.struct("kh", "spot")).alias("found"))
+    return _by_archive(listed).select("rid", "loc", "found").mapInArrow(run, schema)
+
+
+def _surroundings(chosen: DataFrame, folder: str) -> DataFrame:
+    """Packed contexts of anchors."""
+
+    def one(text: bytes, kh: int, pos: int, least: int, most: int) -> tuple[tuple, int]:
+        import zstandard
+
+        start = max(0, pos - (most // BLOCK * BLOCK + BLOCK - 1))
+        cut = zstandard.compress(text[start : pos - least // BLOCK * BLOCK + LENGTH], 1)
+        return (pos, least, most, pos - start, cut), len(cut) + 100
+
+    return _at_anchors(chosen, folder, _CONTEXT, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), one)
+
+
+def _runs(chosen: DataFrame, folder: str) -> DataFrame:
+    """Hashes of anchors' whole runs of strings and of their blocks."""
+
+    def one(text: bytes, kh: int, pos: int, least: int, most: int) -> tuple[tuple, int]:
+        blocks = list(_block_hashes(text, kh, pos, least, most))
+        whole = _signed(xxhash.xxh64_intdigest(memoryview(text)[pos - most : pos - least + LENGTH], least * 1024 + most))
+        return (pos, least, most, whole, blocks), 50 + 40 * len(blocks)
+
+    hashes = pa.list_(pa.struct([("block", pa.int32()), ("core", pa.int64()), ("hull", pa.int64())]))
+    return _at_anchors(chosen, folder, _RUN, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), hashes), one)
 
 
 def _signed(h: int) -> int:
@@ -400,10 +432,15 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
         held: list = []
         size = 0
 
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+
         def solve(rows: list) -> pa.RecordBatch:
             kh, rid, pos, least, most, anchor, context = zip(*rows, strict=True)
+            context = [unpack.decompress(c) for c in context]
             kh, rid, pos, least, most, anchor = (np.array(x, np.int64) for x in (kh, rid, pos, least, most, anchor))
-            entry, lo, hi = repeated_in_groups(kh, list(context), anchor, least, most)
+            entry, lo, hi = repeated_in_groups(kh, context, anchor, least, most)
             return pa.RecordBatch.from_arrays([pa.array(rid[entry]), pa.array((pos[entry] - hi).astype(np.int32)), pa.array((pos[entry] - lo).astype(np.int32))], names=["rid", "first", "last"])
 
         for b in batches:
@@ -444,13 +481,13 @@ def _counted_repeats(anchors: DataFrame, places: DataFrame, folder: str) -> Data
             for i in range(0, b.num_rows, 200):
                 rows = b.slice(i, 200).to_pylist()
                 out: list = []
-                for r, text in zip(rows, texts_at(folder, ((r["task"], r["place"], r["packed"]) for r in rows)), strict=True):
+                for r, text in zip(rows, texts_at(folder, ((r["rid"], r["loc"]) for r in rows)), strict=True):
                     view = memoryview(text)
                     for k in r["blocks"]:
                         out += [(_signed(xxhash.xxh64_intdigest(view[s : s + LENGTH])), r["rid"], s, k["single"]) for s in range(k["first"], k["last"] + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], names=["string", "rid", "first", "single"])
 
-    strings = listed.select("rid", "task", "place", "packed", "blocks").repartition("task").sortWithinPartitions("task", "place").mapInArrow(run, "string long, rid long, first int, single boolean")
+    strings = _by_archive(listed.select("rid", "loc", "blocks")).select("rid", "loc", "blocks").mapInArrow(run, "string long, rid long, first int, single boolean")
     strings = staging.stage(strings, "edge-strings").withColumn("where", F.xxhash64("rid", "first"))
     again = strings.groupBy("string").agg(F.min("where").alias("a"), F.max("where").alias("b")).filter("a < b").select("string")
     edges = strings.filter("single").join(again, "string").select("rid", "first", F.col("first").alias("last"))
@@ -473,14 +510,10 @@ def find_repeats(docs: DataFrame, keep: list[str], hot: int = HOT) -> tuple[Data
     shas = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min(F.when(F.col("first"), F.col("rid"))).alias("owner"))
     shas = staging.stage(shas.filter("copies > 1"), "text-copies")
     once = rows.filter("first").join(shas.select("sha", "owner"), "sha", "left").filter("owner is null or owner = rid")
-    places = once.select("rid", "task", "place", "packed")
-    found = _candidates(once.select("rid", "task", "place", "packed", "anchors"))
-    chosen = found.groupBy("rid", "task", "place", "packed").agg(F.collect_list(F.struct("kh", "pos", "lo", "hi", "n")).alias("found"))
-    chosen = chosen.repartition("task").sortWithinPartitions("task", "place")
-    near = staging.stage(_surroundings(chosen.select("rid", "task", "place", "packed", "found"), folder, hot), "surroundings")
-    repeats = _sorted_repeats(near.filter("blocks is null")).unionByName(_counted_repeats(near.filter("blocks is not null"), places, folder))
+    found = staging.stage(_candidates(once.select("rid", "loc", "anchors", "spots"), hot), "anchors-again")
+    repeats = _sorted_repeats(_surroundings(found.filter("not hot"), folder)).unionByName(_counted_repeats(staging.stage(_runs(found.filter("hot"), folder), "runs"), once.select("rid", "loc"), folder))
     spans = staging.stage(repeats.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
-    out = rows.drop("anchors", "first").join(shas.select("sha", "copies"), "sha", "left").join(spans, "rid", "left")
+    out = rows.drop("anchors", "spots", "first").join(shas.select("sha", "copies"), "sha", "left").join(spans, "rid", "left")
     return out.withColumn("copies", F.coalesce("copies", F.lit(1))), folder
 
 
@@ -511,9 +544,9 @@ def remove_repeats(docs: DataFrame, keep: list[str], text: bool = False, hot: in
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 part = b.slice(i, 200)
-                rows = part.select(["n_bytes", "sha", "copies", "spans", "task", "place", "packed"]).to_pylist()
+                rows = part.select(["n_bytes", "sha", "copies", "spans", "rid", "loc"]).to_pylist()
                 runs = [covered(r["n_bytes"], r["copies"], r["spans"]) for r in rows]
-                read = texts_at(folder, ((r["task"], r["place"], r["packed"]) for r, cut in zip(rows, runs, strict=True) if text or 0 < sum(y - x for x, y in cut) < r["n_bytes"]))
+                read = texts_at(folder, ((r["rid"], r["loc"]) for r, cut in zip(rows, runs, strict=True) if text or 0 < sum(y - x for x, y in cut) < r["n_bytes"]))
                 kept: list = []
                 for r, cut in zip(rows, runs, strict=True):
                     gone = sum(y - x for x, y in cut)
@@ -528,8 +561,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], text: bool = False, hot: in
                 made = [pa.array(c, t) for c, t in zip(list(zip(*kept, strict=True))[: 4 + text], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())[: 4 + text], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] * text)])
 
-    order = found.repartition("task").sortWithinPartitions("task", "place") if text else found.filter(changed).repartition("task").sortWithinPartitions("task", "place")
-    out = order.select(*keep, "n_bytes", "sha", "copies", "spans", "task", "place", "packed").mapInArrow(run, schema)
+    out = _by_archive(found.filter(changed)).select(*keep, "n_bytes", "sha", "copies", "spans", "rid", "loc").mapInArrow(run, schema)
     if text:
         return out
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)

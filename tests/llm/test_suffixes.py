@@ -76,7 +76,7 @@ def test_repeated_rows_and_empty_tables(spark):
     assert [(r.n_removed, r.n_spans) for r in sx.remove_repeats(d, ["doc_id"]).collect()] == [(510, 1)] * 2
     assert sx.remove_repeats(documents(spark, []), ["doc_id"]).collect() == []
     with pytest.raises(ValueError):
-        sx.find_repeats(d, ["doc_id", "task"])
+        sx.find_repeats(d.withColumn("loc", d.doc_id), ["doc_id", "loc"])
 
 
 def test_sorted_suffixes():
