@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ LENGTH = 400
 PART = 128
 BLOCK = 32
 HOT = 1000
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 _SPAN = LENGTH - PART  # an anchor begins at most so far behind its string
 _CORE = LENGTH - BLOCK + 1
 _POSITION = 21  # bits of a place in a buffer of texts
@@ -355,6 +356,14 @@ def _anchor(spot: int) -> tuple[int, int, int]:
     return spot >> 2 * _REACH_BITS, spot & mask, spot >> _REACH_BITS & mask
 
 
+@cache
+def _packer():
+    """One per worker process."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1)
+
+
 _CONTEXT = "kh long, rid long, pos int, least int, most int, anchor int, context binary"
 _RUN = "kh long, rid long, pos int, least int, most int, whole long, blocks array<struct<block:int,core:long,hull:long>>"
 
@@ -387,10 +396,8 @@ def _surroundings(chosen: DataFrame, folder: str) -> DataFrame:
     """Packed contexts of anchors."""
 
     def one(text: bytes, kh: int, pos: int, least: int, most: int) -> tuple[tuple, int]:
-        import zstandard
-
         start = max(0, pos - (most // BLOCK * BLOCK + BLOCK - 1))
-        cut = zstandard.compress(text[start : pos - least // BLOCK * BLOCK + LENGTH], 1)
+        cut = _packer().compress(text[start : pos - least // BLOCK * BLOCK + LENGTH])
         return (pos, least, most, pos - start, cut), len(cut) + 100
 
     return _at_anchors(chosen, folder, _CONTEXT, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), one)
@@ -449,7 +456,7 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[6])
+                size += row[4] - row[3] + LENGTH  # unpacked
         if held:
             yield solve(held)
 
