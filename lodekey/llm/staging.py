@@ -9,6 +9,7 @@ re-read and not a recomputation.
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 import tempfile
@@ -36,11 +37,19 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns it read back."""
+    """Writes ``df`` to the shared folder and returns it read back.
+
+    Shuffle files that only ``df``'s lineage needed go once their handles
+    are collected, here and in the JVM, and not whenever memory runs short.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
+    schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
