@@ -12,8 +12,9 @@ refers to, found by a join on record ids.
 
 Defined results: null html is an empty payload; all payloads of at least
 ``min_bytes`` bytes are deduplicated, the row with the largest ``page_id``
-being the response (repeated rows with that id: the one with the smallest
-url is the response); null url is ``about:blank``; a null ``page_id`` sorts
+being the response (all rows with that id are responses; where every id is
+null, one row is); each row of ``pages`` is a capture with identifiers of its
+own, repeated rows too; null url is ``about:blank``; a null ``page_id`` sorts
 below every other and its record refers and is referred to as usual; extra
 columns are ignored; an empty table gives no rows.
 """
@@ -116,6 +117,17 @@ def iter_records(stream: io.RawIOBase, block: int = 1 << 20) -> Iterator[tuple[i
 # --------------------------------------------------------------------- writing
 
 
+def _numbered(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``row``, a number that is the same each time they are read.
+
+    Files are always scanned alike; anything else is written first.
+    """
+    p = pages.select("page_id", "url", "html")
+    if pages._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        p = staging.stage(p, "warc-pages")
+    return p.withColumn("row", F.monotonically_increasing_id())
+
+
 def plan_records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Each page with the page whose response it repeats (null: none).
 
@@ -123,13 +135,13 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     join has few rows on one side; its other side can be split where one
     payload is very frequent.
     """
-    p = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html"))
+    p = _numbered(pages).select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html"), "row")
     p = p.withColumns({"sha": F.unhex(F.sha1("html")), "size": F.octet_length("html")})
-    p = p.withColumn("key", F.struct(F.coalesce(F.col("page_id"), F.lit(-(2**63))).alias("id"), (-F.xxhash64(F.coalesce("url", F.lit("")))).alias("tie")))
+    p = p.withColumn("key", F.struct(F.coalesce(F.col("page_id"), F.lit(-(2**63))).alias("id"), "row"))
     owners = (
         p.filter(F.col("size") >= min_bytes).groupBy(F.col("sha").alias("o_sha")).agg(F.max("key").alias("o_key"), F.max("page_id").alias("o_page"), F.count("*").alias("n")).filter("n > 1").select("o_sha", "o_key", "o_page")
     )
-    return p.join(owners, (p.sha == owners.o_sha) & (p["size"] >= min_bytes), "left").select("page_id", "url", "html", "key", F.when(F.col("o_key") != F.col("key"), F.col("o_key")).alias("o_key"), "o_page")
+    return p.join(owners, (p.sha == owners.o_sha) & (p["size"] >= min_bytes), "left").select("page_id", "url", "html", "key", F.when((F.col("o_key") != F.col("key")) & ~F.coalesce(F.col("page_id") == F.col("o_page"), F.lit(False)), F.col("o_key")).alias("o_key"), "o_page")
 
 
 def write_warcs(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -146,8 +158,8 @@ def write_warcs(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> Da
         with files.replacing(f"{folder}/{name}") as out:
             for b in batches:
                 for page, url, html, key, owner, owner_page in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
-                    full = f"{key['id']}:{key['tie']}"
-                    out.write(capture(page, full, url, html, payload_digest(html), owner and f"{owner['id']}:{owner['tie']}", owner_page))
+                    full = f"{key['id']}:{key['row']}"
+                    out.write(capture(page, full, url, html, payload_digest(html), owner and f"{owner['id']}:{owner['row']}", owner_page))
                     n += 3
         yield pa.RecordBatch.from_pydict({"archive": [name], "records": [n]})
 

@@ -42,6 +42,18 @@ def test_empty_table(spark):
     assert warc.captures(spark, table(spark, [])).collect() == []
 
 
+def test_repeated_rows_stay(spark, tmp_path):
+    rows = [(1, "u", "x")] * 3 + [(7, "u", "x")] * 2 + [(None, None, "p"), (None, "", "q"), (None, None, "q"), (None, "u", "q"), (None, "u", "q")]
+    want = [("p", None, "response", None), *[("q", None, k, None) for k in ("response", *["revisit"] * 3)], *[("x", 1, "revisit", 7)] * 3, *[("x", 7, "response", None)] * 2]
+    name = {base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(): h for h in "pqx"}
+    table(spark, rows).write.parquet(str(tmp_path / "pages"))
+    for pages in (table(spark, rows).repartition(3), spark.read.parquet(str(tmp_path / "pages"))):
+        got = warc.captures(spark, pages).collect()
+        assert sorted(((name[r.payload_digest], r.page_id, r.record_type, r.refers_to) for r in got), key=str) == sorted(want, key=str)
+        assert all(r.payload_bytes == 1 for r in got)
+        assert len({x for r in got for x in (r.capture_id, r.request.record_id, r.metadata.record_id)}) == 3 * len(rows)
+
+
 def test_small_payloads_can_stay_responses(spark):
     planned = warc.plan_records(table(spark, [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")]), min_bytes=3)
     assert {r.page_id: r.o_page if r.o_key else None for r in planned.collect()} == {1: None, 2: None, 3: 4, 4: None}
