@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodekey.llm import packing, simhash, staging, suffixes, toxicity
 
+PASSAGE_WORDS = 51
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -26,8 +27,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that occur elsewhere out of the texts; every row stays."""
-    kept = suffixes.remove_repeats(docs, ["doc_id", "lang", "source"], text=True)
+    """Cuts passages of over 50 words that occur elsewhere out of the texts; every row stays."""
+    kept = suffixes.remove_passages(docs, ["doc_id", "lang", "source"], PASSAGE_WORDS)
     return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast("long").alias("n_chars"))
 
 

@@ -22,6 +22,10 @@ place, so only anchors that occur again can be in a repeated string.
    blocks as above, by hashes of cores and of surroundings, and at the edges
    of repeats single strings.
 
+Passages of words are found in the same way: each word becomes a code of
+``WORD`` bytes, so a passage of n words is a string of n * ``WORD`` bytes,
+however short its words are and whatever blanks part them.
+
 Defined results: null text is empty; texts of under ``LENGTH`` bytes hold no
 such string; repeated rows repeat each other; extra columns are kept where
 asked for; an empty table gives no rows.
@@ -47,16 +51,44 @@ PART = 128
 BLOCK = 32
 HOT = 1000
 BATCH_BYTES = 1 << 20
-_SPAN = LENGTH - PART  # an anchor begins at most so far behind its string
-_CORE = LENGTH - BLOCK + 1
+WORD = 8  # bytes of a word's code
 _POSITION = 21  # bits of a place in a buffer of texts
 # Packed numbers: rid is the task's and the row's, loc where a packed text
 # begins and its size, a spot where an anchor and its first and last strings begin.
 _ROW_BITS, _SIZE_BITS, _REACH_BITS = 33, 28, 10
 
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_LONE = np.isin(np.arange(256), range(0xE3, 0xEA))  # begins a character from U+3000 to U+9FFF
+
 READ = "rid long, loc long, n_bytes long, sha string, first boolean, anchors array<long>, spots array<long>"
 
 
+# ------------------------------------------------------------------------ words
+
+
+def word_codes(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Codes of the words, and where each begins and ends.
+
+    Blanks part words; where scripts have none (U+3000 to U+9FFF), each
+    character begins a word.
+    """
+    data = np.frombuffer(text, np.uint8)
+    if not len(data):
+        return b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
+    blank, lone = _BLANK[data], _LONE[data]
+    start = np.flatnonzero(~blank & (lone | np.r_[True, blank[:-1]]))
+    end = np.flatnonzero(~blank & np.r_[(blank | lone)[1:], True]) + 1
+    return mix(part_hashes(prefix_sums(data), start, end - start)).astype("<u8").tobytes(), start, end
+
+
+def _length(words: int) -> int:
+    """Bytes of a string, or of the codes of so many words."""
+    length = words * WORD or LENGTH
+    if not PART + BLOCK <= length < PART + (1 << _REACH_BITS):
+        raise ValueError(f"passages can't have {words} words")
+    return length
+
+
 # ---------------------------------------------------------------------- anchors
 
 
@@ -71,11 +103,12 @@ def _sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(up[: n - width + 1], down[width - 1 : n])
 
 
-def find_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def find_anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, hash, place and first and last string begin of each anchor, over many texts."""
     none = np.zeros(0, np.int64)
+    span = length - PART  # an anchor begins at most so far behind its string
     size = np.array([len(t) for t in texts], np.int64)
-    if not len(size) or size.max() < LENGTH:
+    if not len(size) or size.max() < length:
         return none, none, none, none, none
     out = []
     base = np.cumsum(size) - size
@@ -86,15 +119,15 @@ def find_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     low = np.uint64((1 << _POSITION) - 1)
     step = 1 << (_POSITION - 1)
     for at in range(0, n, step):  # places within a stretch fit the low bits
-        part = h[at : at + step + _SPAN]
-        if len(part) <= _SPAN:
+        part = h[at : at + step + span]
+        if len(part) <= span:
             break
         key = (part & ~low) | np.arange(len(part), dtype=np.uint64)
-        out.append((_sliding_least(key, _SPAN + 1) & low).astype(np.int64) + at)
-    anchor = np.concatenate(out)[: n - _SPAN] if out else none
+        out.append((_sliding_least(key, span + 1) & low).astype(np.int64) + at)
+    anchor = np.concatenate(out)[: n - span] if out else none
     begin = np.arange(len(anchor))
     text = np.searchsorted(base, begin, "right") - 1
-    inside = begin + LENGTH <= (base + size)[text]
+    inside = begin + length <= (base + size)[text]
     begin, text, anchor = begin[inside], text[inside], anchor[inside]
     if not len(begin):
         return none, none, none, none, none
@@ -104,10 +137,10 @@ def find_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return t, h[anchor[new]].view(np.int64), anchor[new] - base[t], begin[new] - base[t], begin[last] - base[t]
 
 
-def read_texts(docs: DataFrame, folder: str, keep: list[str]) -> DataFrame:
+def read_texts(docs: DataFrame, folder: str, keep: list[str], words: int = 0) -> DataFrame:
     """One row per row of ``docs``: its text's place, digest and anchors."""
     schema = ", ".join([READ, *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)])
-    longs = pa.list_(pa.int64())
+    longs, length = pa.list_(pa.int64()), _length(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -131,7 +164,7 @@ def read_texts(docs: DataFrame, folder: str, keep: list[str]) -> DataFrame:
                             at += len(z)
                             fresh.append(i)
                         place.append(seen[d])
-                    found = find_anchors([part[i] for i in fresh])
+                    found = find_anchors([word_codes(part[i])[0] if words else part[i] for i in fresh], length)
                     count = np.zeros(len(part), np.int64)
                     count[fresh] = np.bincount(found[0], minlength=len(fresh))
                     spot = found[2] << 2 * _REACH_BITS | (found[2] - found[3]) << _REACH_BITS | (found[2] - found[4])
@@ -293,7 +326,7 @@ def _again(data: np.ndarray, keys: list[np.ndarray], at: np.ndarray, length: np.
     return out
 
 
-def repeated_in_groups(kh: np.ndarray, contexts: list[bytes], anchor: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_in_groups(kh: np.ndarray, contexts: list[bytes], anchor: np.ndarray, least: np.ndarray, most: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entry, and first and last offset of string begins before the anchor, of repeats.
 
     Entries of one ``kh`` stand together.  ``anchor`` is the anchor's place in
@@ -310,11 +343,12 @@ def repeated_in_groups(kh: np.ndarray, contexts: list[bytes], anchor: np.ndarray
     order = np.argsort(group, kind="stable")
     entry, block, group = entry[order], block[order], group[order]
     core = base[entry] + anchor[entry] - BLOCK * block
-    order = sort_suffixes(data, sums, core, group, _CORE)
+    shared_bytes = length - BLOCK + 1
+    order = sort_suffixes(data, sums, core, group, shared_bytes)
     entry, block, group, core = entry[order], block[order], group[order], core[order]
     alike = np.zeros(len(core), bool)
     pair = np.flatnonzero(group[1:] == group[:-1])
-    alike[pair + 1] = common_extension(sums, core[pair], core[pair + 1], _CORE) == _CORE
+    alike[pair + 1] = common_extension(sums, core[pair], core[pair + 1], shared_bytes) == shared_bytes
     cls = np.cumsum(~alike) - 1
     shared = np.bincount(cls)[cls] > 1
     entry, block, core, cls = entry[shared], block[shared], core[shared], cls[shared]
@@ -322,7 +356,7 @@ def repeated_in_groups(kh: np.ndarray, contexts: list[bytes], anchor: np.ndarray
         return (np.zeros(0, np.int64),) * 3
     # whole surroundings, cut off where the text begins or ends
     left = np.maximum(core - (BLOCK - 1), base[entry])
-    right = np.minimum(core + LENGTH, (base + size)[entry])
+    right = np.minimum(core + length, (base + size)[entry])
     hull = part_hashes(sums, left, right - left)
     full = _again(data, [cls, core - left, right - core, hull], left, right - left)
     lo, hi = np.maximum(BLOCK * block, least[entry]), np.minimum(BLOCK * block + BLOCK - 1, most[entry])
@@ -335,7 +369,7 @@ def repeated_in_groups(kh: np.ndarray, contexts: list[bytes], anchor: np.ndarray
         e = np.repeat(rest, many)
         back = np.arange(len(e)) - np.repeat(np.cumsum(many) - many, many) + lo[e]
         at = base[entry[e]] + anchor[entry[e]] - back
-        hit = _again(data, [cls[e], back, part_hashes(sums, at, LENGTH)], at, np.full(len(at), LENGTH))
+        hit = _again(data, [cls[e], back, part_hashes(sums, at, length)], at, np.full(len(at), length))
         found.append((entry[e[hit]], back[hit], back[hit]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
@@ -368,8 +402,8 @@ _CONTEXT = "kh long, rid long, pos int, least int, most int, anchor int, context
 _RUN = "kh long, rid long, pos int, least int, most int, whole long, blocks array<struct<block:int,core:long,hull:long>>"
 
 
-def _at_anchors(chosen: DataFrame, folder: str, schema: str, types: tuple, one) -> DataFrame:
-    """Rows that ``one`` makes of each anchor's text, key, place and strings."""
+def _at_anchors(chosen: DataFrame, folder: str, schema: str, types: tuple, one, words: int) -> DataFrame:
+    """Rows that ``one`` makes of each anchor's text (and its codes), key, place and strings."""
     names = [x.split(" ")[0] for x in schema.split(", ")][: len(types)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,6 +412,7 @@ def _at_anchors(chosen: DataFrame, folder: str, schema: str, types: tuple, one)
         for b in batches:
             listed = b.to_pylist()
             for r, text in zip(listed, texts_at(folder, ((r["rid"], r["loc"]) for r in listed)), strict=True):
+                text = (text, *word_codes(text)) if words else text
                 for a in r["found"]:
                     row, weight = one(text, a["kh"], *_anchor(a["spot"]))
                     rows.append((a["kh"], r["rid"], *row))
@@ -392,48 +427,57 @@ def _at_anchors(chosen: DataFrame, folder: str, schema: str, types: tuple, one)
     return _by_archive(listed).select("rid", "loc", "found").mapInArrow(run, schema)
 
 
-def _surroundings(chosen: DataFrame, folder: str) -> DataFrame:
-    """Packed contexts of anchors."""
+def _surroundings(chosen: DataFrame, folder: str, words: int) -> DataFrame:
+    """Packed contexts of anchors; those of words begin and end with a word."""
+    length = _length(words)
 
-    def one(text: bytes, kh: int, pos: int, least: int, most: int) -> tuple[tuple, int]:
-        start = max(0, pos - (most // BLOCK * BLOCK + BLOCK - 1))
-        cut = _packer().compress(text[start : pos - least // BLOCK * BLOCK + LENGTH])
+    def one(text: bytes | tuple, kh: int, pos: int, least: int, most: int) -> tuple[tuple, int]:
+        start, end = max(0, pos - (most // BLOCK * BLOCK + BLOCK - 1)), pos - least // BLOCK * BLOCK + length
+        if words:
+            text, _, begins, ends = text
+            a, b = start // WORD, min(-(-end // WORD), len(ends))
+            start, cut = a * WORD, _packer().compress(text[begins[a] : ends[b - 1]])
+        else:
+            cut = _packer().compress(text[start:end])
         return (pos, least, most, pos - start, cut), len(cut) + 100
 
-    return _at_anchors(chosen, folder, _CONTEXT, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), one)
+    return _at_anchors(chosen, folder, _CONTEXT, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), one, words)
 
 
-def _runs(chosen: DataFrame, folder: str) -> DataFrame:
+def _runs(chosen: DataFrame, folder: str, words: int) -> DataFrame:
     """Hashes of anchors' whole runs of strings and of their blocks."""
+    length = _length(words)
 
-    def one(text: bytes, kh: int, pos: int, least: int, most: int) -> tuple[tuple, int]:
-        blocks = list(_block_hashes(text, kh, pos, least, most))
-        whole = _signed(xxhash.xxh64_intdigest(memoryview(text)[pos - most : pos - least + LENGTH], least * 1024 + most))
+    def one(text: bytes | tuple, kh: int, pos: int, least: int, most: int) -> tuple[tuple, int]:
+        text = text[1] if words else text
+        blocks = list(_block_hashes(text, kh, pos, least, most, length))
+        whole = _signed(xxhash.xxh64_intdigest(memoryview(text)[pos - most : pos - least + length], least * 1024 + most))
         return (pos, least, most, whole, blocks), 50 + 40 * len(blocks)
 
     hashes = pa.list_(pa.struct([("block", pa.int32()), ("core", pa.int64()), ("hull", pa.int64())]))
-    return _at_anchors(chosen, folder, _RUN, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), hashes), one)
+    return _at_anchors(chosen, folder, _RUN, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), hashes), one, words)
 
 
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _block_hashes(text: bytes, kh: int, pos: int, least: int, most: int) -> Iterator[dict]:
+def _block_hashes(text: bytes, kh: int, pos: int, least: int, most: int, length: int) -> Iterator[dict]:
     """Hashes of cores, one for each anchor and block, and of surroundings."""
     view = memoryview(text)
     for block in range(least // BLOCK, most // BLOCK + 1):
         core = pos - BLOCK * block
-        left, right = max(0, core - (BLOCK - 1)), min(len(text), core + LENGTH)
+        left, right = max(0, core - (BLOCK - 1)), min(len(text), core + length)
         shape = (core - left) * 1024 + right - core
-        yield {"block": block, "core": _signed(xxhash.xxh64_intdigest(view[core : core + _CORE], (kh + block) % (1 << 64))), "hull": _signed(xxhash.xxh64_intdigest(view[left:right], shape))}
+        yield {"block": block, "core": _signed(xxhash.xxh64_intdigest(view[core : core + length - BLOCK + 1], (kh + block) % (1 << 64))), "hull": _signed(xxhash.xxh64_intdigest(view[left:right], shape))}
 
 
 REPEATS = "rid long, first int, last int"
 
 
-def _sorted_repeats(contexts: DataFrame) -> DataFrame:
+def _sorted_repeats(contexts: DataFrame, words: int) -> DataFrame:
     """Repeats among contexts, anchor by anchor."""
+    length = _length(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -446,8 +490,9 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
         def solve(rows: list) -> pa.RecordBatch:
             kh, rid, pos, least, most, anchor, context = zip(*rows, strict=True)
             context = [unpack.decompress(c) for c in context]
+            context = [word_codes(c)[0] for c in context] if words else context
             kh, rid, pos, least, most, anchor = (np.array(x, np.int64) for x in (kh, rid, pos, least, most, anchor))
-            entry, lo, hi = repeated_in_groups(kh, context, anchor, least, most)
+            entry, lo, hi = repeated_in_groups(kh, context, anchor, least, most, length)
             return pa.RecordBatch.from_arrays([pa.array(rid[entry]), pa.array((pos[entry] - hi).astype(np.int32)), pa.array((pos[entry] - lo).astype(np.int32))], names=["rid", "first", "last"])
 
         for b in batches:
@@ -456,15 +501,16 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += row[4] - row[3] + LENGTH  # unpacked
+                size += row[4] - row[3] + length  # unpacked
         if held:
             yield solve(held)
 
     return contexts.select("kh", "rid", "pos", "least", "most", "anchor", "context").repartition("kh").sortWithinPartitions("kh", "rid", "pos").mapInArrow(run, REPEATS)
 
 
-def _counted_repeats(anchors: DataFrame, places: DataFrame, folder: str) -> DataFrame:
+def _counted_repeats(anchors: DataFrame, places: DataFrame, folder: str, words: int) -> DataFrame:
     """Repeats among hot anchors, by counting hashes."""
+    length = _length(words)
     run_at = anchors.select("kh", "whole", "rid", "pos", "least", "most", "blocks", F.xxhash64("rid", "pos").alias("where"))
     wholes = run_at.groupBy("kh", "whole").agg(F.min("where").alias("w_min"), F.max("where").alias("w_max"))
     runs = run_at.join(wholes, ["kh", "whole"])
@@ -489,9 +535,9 @@ def _counted_repeats(anchors: DataFrame, places: DataFrame, folder: str) -> Data
                 rows = b.slice(i, 200).to_pylist()
                 out: list = []
                 for r, text in zip(rows, texts_at(folder, ((r["rid"], r["loc"]) for r in rows)), strict=True):
-                    view = memoryview(text)
+                    view = memoryview(word_codes(text)[0] if words else text)
                     for k in r["blocks"]:
-                        out += [(_signed(xxhash.xxh64_intdigest(view[s : s + LENGTH])), r["rid"], s, k["single"]) for s in range(k["first"], k["last"] + 1)]
+                        out += [(_signed(xxhash.xxh64_intdigest(view[s : s + length])), r["rid"], s, k["single"]) for s in range(k["first"], k["last"] + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], names=["string", "rid", "first", "single"])
 
     strings = _by_archive(listed.select("rid", "loc", "blocks")).select("rid", "loc", "blocks").mapInArrow(run, "string long, rid long, first int, single boolean")
@@ -501,11 +547,12 @@ def _counted_repeats(anchors: DataFrame, places: DataFrame, folder: str) -> Data
     return full.unionByName(edges)
 
 
-def find_repeats(docs: DataFrame, keep: list[str], hot: int = HOT) -> tuple[DataFrame, str]:
+def find_repeats(docs: DataFrame, keep: list[str], hot: int = HOT, words: int = 0) -> tuple[DataFrame, str]:
     """Rows of ``docs`` with their text's place and ``spans`` of repeats.
 
     ``spans`` lists (first, last) begins of repeated strings in no order;
-    ``copies`` counts the rows of equal text.
+    ``copies`` counts the rows of equal text.  With ``words``, strings are
+    those of the codes of so many words.
     """
     spark = docs.sparkSession
     if clash := {x.strip().split(" ")[0] for x in READ.split(", ")} & set(keep):
@@ -513,12 +560,12 @@ def find_repeats(docs: DataFrame, keep: list[str], hot: int = HOT) -> tuple[Data
     staging.ship(spark)
     folder = staging.new_path(spark, "texts")
     files.make_folder(folder)
-    rows = staging.stage(read_texts(docs, folder, keep), "text-rows")
+    rows = staging.stage(read_texts(docs, folder, keep, words), "text-rows")
     shas = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min(F.when(F.col("first"), F.col("rid"))).alias("owner"))
     shas = staging.stage(shas.filter("copies > 1"), "text-copies")
     once = rows.filter("first").join(shas.select("sha", "owner"), "sha", "left").filter("owner is null or owner = rid")
     found = staging.stage(_candidates(once.select("rid", "loc", "anchors", "spots"), hot), "anchors-again")
-    repeats = _sorted_repeats(_surroundings(found.filter("not hot"), folder)).unionByName(_counted_repeats(staging.stage(_runs(found.filter("hot"), folder), "runs"), once.select("rid", "loc"), folder))
+    repeats = _sorted_repeats(_surroundings(found.filter("not hot"), folder, words), words).unionByName(_counted_repeats(staging.stage(_runs(found.filter("hot"), folder, words), "runs"), once.select("rid", "loc"), folder, words))
     spans = staging.stage(repeats.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
     out = rows.drop("anchors", "spots", "first").join(shas.select("sha", "copies"), "sha", "left").join(spans, "rid", "left")
     return out.withColumn("copies", F.coalesce("copies", F.lit(1))), folder
@@ -574,3 +621,38 @@ def remove_repeats(docs: DataFrame, keep: list[str], text: bool = False, hot: in
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     rest = found.filter(~changed).select(*keep, "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(whole, 1).otherwise(0).cast("long").alias("n_spans"), F.when(whole, F.lit(hashlib.sha256().hexdigest())).otherwise(F.col("sha")).alias("kept_sha256"))
     return out.unionByName(rest)
+
+
+def without_passages(text: bytes, copies: int, spans: list | None, words: int) -> bytes:
+    """What stays of a text; ``spans`` are those of its codes."""
+    if copies == 1 and not spans:
+        return text
+    _, begins, ends = word_codes(text)
+    if copies > 1:
+        runs = [(0, len(ends))] if len(ends) >= words else []
+    else:
+        runs = [(-(-s["first"] // WORD), s["last"] // WORD + words) for s in spans if -(-s["first"] // WORD) <= s["last"] // WORD]  # begins inside a word aside
+    out, at = [], 0
+    for first, last in sorted(runs):
+        if begins[first] > at and not (out and text[at : begins[first]].isspace()):
+            out.append(text[at : begins[first]])
+        at = max(at, ends[last - 1])
+    return b"".join([*out, text[at:]])
+
+
+def remove_passages(docs: DataFrame, keep: list[str], words: int, hot: int = HOT) -> DataFrame:
+    """Columns ``keep`` and ``kept``, the text without any passage of ``words`` words or more that repeats."""
+    found, folder = find_repeats(docs, keep, hot, words)
+    types = {f.name: f.dataType.simpleString() for f in found.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 200):
+                part = b.slice(i, 200)
+                rows = part.select(["copies", "spans", "rid", "loc"]).to_pylist()
+                texts = texts_at(folder, ((r["rid"], r["loc"]) for r in rows))
+                kept = [without_passages(t, r["copies"], r["spans"], words).decode() for r, t in zip(rows, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(kept, pa.string())], names=[*keep, "kept"])
+
+    chosen = _by_archive(found).select(*keep, "copies", "spans", "rid", "loc")
+    return chosen.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "kept string"]))

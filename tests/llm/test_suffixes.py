@@ -71,6 +71,50 @@ def test_texts_come_back(spark):
         assert r.lang == "en"
 
 
+def plain_passages(texts, n=51):
+    """Which words of each text are in a passage of ``n`` that occurs again."""
+    count: dict = {}
+    split = [(t or "").split(" ") if t else [] for t in texts]
+    split = [[w for w in ws if w] for ws in split]
+    for ws in split:
+        for i in range(len(ws) - n + 1):
+            count[tuple(ws[i : i + n])] = count.get(tuple(ws[i : i + n]), 0) + 1
+    out = []
+    for ws in split:
+        gone = [False] * len(ws)
+        for i in range(len(ws) - n + 1):
+            if count[tuple(ws[i : i + n])] > 1:
+                gone[i : i + n] = [True] * n
+        out.append([w for w, g in zip(ws, gone, strict=True) if not g])
+    return out
+
+
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_passages_of_words(spark, hot):
+    r = random.Random(8)
+    prose = lambda n: " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 4))) for _ in range(n))
+    shared = [prose(50), prose(51), prose(51), prose(80), "x " * 60]
+    assert all(len(s.encode()) < 400 for s in shared)
+    texts = [None, "", " ", "x", shared[1], prose(400)]
+    for _ in range(60):
+        parts = [prose(r.randint(1, 60))]
+        for _ in range(r.randint(0, 3)):
+            parts += [r.choice(shared).replace(" ", r.choice([" ", "  "])), prose(r.randint(1, 30))]
+        texts.append(" ".join(parts))
+    texts += [texts[9], texts[9]]
+    want = plain_passages(texts)
+    got = {x.doc_id: x.kept for x in sx.remove_passages(documents(spark, texts), ["doc_id"], 51, hot=hot).collect()}
+    assert [got[i].split() for i in range(len(texts))] == want
+    assert got[5] == texts[5]
+
+
+def test_words_of_scripts_without_blanks():
+    text = " ab\t漢字 é漢x\n".encode()
+    codes, begins, ends = sx.word_codes(text)
+    assert [text[a:b].decode() for a, b in zip(begins, ends, strict=True)] == ["ab", "漢", "字", "é", "漢x"]
+    assert codes == b"".join(sx.word_codes(w.encode())[0] for w in ("ab", "漢", "字", "é", "漢x"))
+
+
 def test_repeated_rows_and_empty_tables(spark):
     d = documents(spark, ["z" * 10 + "long " * 100, "z" * 10 + "long " * 100], ids=[1, 1])
     assert [(r.n_removed, r.n_spans) for r in sx.remove_repeats(d, ["doc_id"]).collect()] == [(510, 1)] * 2
