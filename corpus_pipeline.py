@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodekey.llm import packing, simhash, staging, suffixes, toxicity
+from lodekey.llm import packing, similar, staging, suffixes, toxicity
 
 PASSAGE_WORDS = 51
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
-    return simhash.one_per_component(docs.select(*COLUMNS))
+    """Keeps one document of each group that shares four fifths of its five-word shingles."""
+    return similar.one_per_component(docs.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
