@@ -5,41 +5,50 @@ bytes, the one of least hash.  Equal strings hold equal anchors at one
 place, so only anchors that occur again can be in a repeated string.
 
 1. Each text is read once.  Its anchors are found with prefix polynomial
-   hashes, with the run of strings that each is the anchor of.  Texts are
-   kept compressed in archives and are read again by their place, so they
-   are never shuffled.  Equal texts are one class; all of a class of two or
-   more rows is repeated, and one of its texts stands for it below.
-2. Anchors that occur twice or more are kept (a count and a join).
-3. Surroundings of anchors are sent to the task of their anchor.  Strings
+   hashes, with the run of strings that each is the anchor of and a BLAKE2
+   digest of that run.  Texts are kept compressed in archives and are read
+   again by their place, so they are never shuffled.  Equal texts are one
+   class; all of a class of two or more rows is repeated, and one of its
+   texts stands for it below.  Runs that one text holds twice are repeated,
+   and one of them stands for them.
+2. Anchors that occur in two or more places are kept (a count and a join).
+   Equal runs are one class: all of a class of two or more is repeated, and
+   one of them stands for it.  Anchors with one class need no more.
+3. Surroundings of the others are sent to the task of their anchor.  Strings
    that begin in one block of ``BLOCK`` places share a core.  A mergesort
    that compares suffixes by the length of their common extension, found by
    binary search over prefix hashes, brings equal cores together; then equal
    surroundings, and only at the edges of repeats single strings, are
    compared.  What the hashes call equal is compared byte by byte.
-4. Anchors of over ``HOT`` places don't meet in one task: they are compared by
-   counting 64-bit hashes, which Spark can combine and split.  First come
-   whole runs of strings; of runs alike, one stands for all.  Then the same
-   blocks as above, by hashes of cores and of surroundings, and at the edges
-   of repeats single strings.
+4. The suffixes of an anchor of over ``HOT`` classes are sorted by many tasks:
+   Spark ranges them by sampled pivots and sorts each range by its bytes.
+   What surrounds cores found equal is then grouped by its bytes, which Spark
+   combines before it is sent, so that no task holds a frequent core whole.
+   This changes where the work is done, not what is found.
+
+Spans leave each task merged; those of a text meet once.
 
 Passages of words are found in the same way: each word becomes a code of
 ``WORD`` bytes, so a passage of n words is a string of n * ``WORD`` bytes,
 however short its words are and whatever blanks part them.
 
 Defined results: null text is empty; texts of under ``LENGTH`` bytes hold no
-such string; repeated rows repeat each other; extra columns are kept where
-asked for; an empty table gives no rows.
+such string; repeated rows repeat each other; very long texts are searched in
+stretches and give what they would give whole; columns that are kept may have
+any names, but one named like a column of the result gives way to it; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,17 +59,21 @@ LENGTH = 400
 PART = 128
 BLOCK = 32
 HOT = 1000
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
+STRETCH = 1 << 18  # places searched at a time
+PORTION = 1 << 20  # bytes of short texts searched together
 WORD = 8  # bytes of a word's code
-_POSITION = 21  # bits of a place in a buffer of texts
-# Packed numbers: rid is the task's and the row's, loc where a packed text
-# begins and its size, a spot where an anchor and its first and last strings begin.
-_ROW_BITS, _SIZE_BITS, _REACH_BITS = 33, 28, 10
+_POSITION = 19  # bits of a place in a stretch and what its last strings reach
+# Packed numbers: rid is the task's and the row's; a spot is where an anchor
+# and its first and last strings begin, and whether its text holds the run again.
+_ROW_BITS, _REACH_BITS = 33, 10
+_REMEMBERED = 50_000  # texts of a task whose copies are not stored again
 
 _BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _LONE = np.isin(np.arange(256), range(0xE3, 0xEA))  # begins a character from U+3000 to U+9FFF
 
-READ = "rid long, loc long, n_bytes long, sha string, first boolean, anchors array<long>, spots array<long>"
+_LONGS = ["anchors", "d1", "d2", "spots", "own_first", "own_last"]
+READ = "rid long, at long, packed long, n_bytes long, sha binary, first boolean, " + ", ".join(f"{x} array<long>" for x in _LONGS)
 
 
 # ------------------------------------------------------------------------ words
@@ -78,7 +91,13 @@ def word_codes(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     blank, lone = _BLANK[data], _LONE[data]
     start = np.flatnonzero(~blank & (lone | np.r_[True, blank[:-1]]))
     end = np.flatnonzero(~blank & np.r_[(blank | lone)[1:], True]) + 1
-    return mix(part_hashes(prefix_sums(data), start, end - start)).astype("<u8").tobytes(), start, end
+    out, i = [], 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + STRETCH)))
+        sums = prefix_sums(data[start[i] : end[j - 1]])
+        out.append(mix(part_hashes(sums, start[i:j] - start[i], end[i:j] - start[i:j])).astype("<u8").tobytes())
+        i = j
+    return b"".join(out), start, end
 
 
 def _length(words: int) -> int:
@@ -103,44 +122,98 @@ def _sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(up[: n - width + 1], down[width - 1 : n])
 
 
-def find_anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, hash, place and first and last string begin of each anchor, over many texts."""
-    none = np.zeros(0, np.int64)
-    span = length - PART  # an anchor begins at most so far behind its string
-    size = np.array([len(t) for t in texts], np.int64)
-    if not len(size) or size.max() < length:
-        return none, none, none, none, none
-    out = []
-    base = np.cumsum(size) - size
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    sums = prefix_sums(data)
-    n = len(data) - PART + 1
-    h = mix((sums[PART:] - sums[:n]) * powers(len(sums))[1][:n])
+def _stretch_runs(data: np.ndarray, base: np.ndarray, size: np.ndarray, s: int, m: int, length: int) -> np.ndarray:
+    """Text, place, hash, and first and last string begin of anchors; begins from ``s``, ``m`` of them."""
+    k = m + length - PART
+    sums = prefix_sums(data[s : s + m + length - 1])
+    h = mix((sums[PART : PART + k] - sums[:k]) * powers(k)[1][:k])
     low = np.uint64((1 << _POSITION) - 1)
-    step = 1 << (_POSITION - 1)
-    for at in range(0, n, step):  # places within a stretch fit the low bits
-        part = h[at : at + step + span]
-        if len(part) <= span:
-            break
-        key = (part & ~low) | np.arange(len(part), dtype=np.uint64)
-        out.append((_sliding_least(key, span + 1) & low).astype(np.int64) + at)
-    anchor = np.concatenate(out)[: n - span] if out else none
-    begin = np.arange(len(anchor))
+    anchor = (_sliding_least((h & ~low) | np.arange(k, dtype=np.uint64), k - m + 1) & low).astype(np.int64)
+    begin = np.arange(s, s + m)
     text = np.searchsorted(base, begin, "right") - 1
-    inside = begin + length <= (base + size)[text]
+    inside = np.flatnonzero(begin + length <= (base + size)[text])
     begin, text, anchor = begin[inside], text[inside], anchor[inside]
-    if not len(begin):
-        return none, none, none, none, none
-    new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
-    last = np.r_[new[1:], len(begin)] - 1
-    t = text[new]
-    return t, h[anchor[new]].view(np.int64), anchor[new] - base[t], begin[new] - base[t], begin[last] - base[t]
+    new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])][: len(begin)])
+    last = np.r_[new[1:], len(begin)][: len(new)] - 1
+    return np.stack([text[new], anchor[new] + s, h[anchor[new]].view(np.int64), begin[new], begin[last]])
+
+
+def _once_per_text(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of the runs that a text holds twice or more, and the begins of all of those.
+
+    Rows of ``runs``: text, place, hash, first, last, two of the digest, again.
+    """
+    order = np.lexsort(runs[[3, 6, 5, 2, 0]])
+    r = runs[:, order]
+    new = np.r_[True, (r[[0, 2, 5, 6], 1:] != r[[0, 2, 5, 6], :-1]).any(0)][: r.shape[1]]
+    number = np.cumsum(new) - 1
+    many = np.bincount(number, minlength=1)[number] > 1 if r.shape[1] else np.zeros(0, bool)
+    one = r[:, new].copy()
+    one[7] |= many[new]
+    return one[:, np.lexsort(one[[3, 0]])], r[:, many][[0, 3, 4]]
+
+
+def merged(group: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (first and last places) of each group, in order; neighbours are one."""
+    if not len(group):
+        return group, first, last
+    order = np.lexsort((first, group))
+    group, first, last = group[order], first[order], last[order]
+    wide = int(last.max()) + 2
+    reach = np.maximum.accumulate(last + group * wide)
+    new = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (first[1:] + group[1:] * wide > reach[:-1] + 1)])
+    return group[new], first[new], reach[np.r_[new[1:], len(group)] - 1] - group[new] * wide
+
+
+def find_anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of many texts, and spans of strings that one text holds twice.
+
+    Rows of the first: text, place, hash, first and last string begin, digest
+    of the run in two numbers, whether the text holds the run again.  Rows of
+    the second: text, first and last string begin.
+    """
+    size = np.array([len(t) for t in texts], np.int64)
+    kept, spans = [np.zeros((8, 0), np.int64)], [np.zeros((3, 0), np.int64)]
+    if len(size) and size.max() >= length:
+        base = np.cumsum(size) - size
+        raw = b"".join(texts)
+        data, view = np.frombuffer(raw, np.uint8), memoryview(raw)
+        n, held = len(data) - length + 1, np.zeros((5, 0), np.int64)
+        for s in range(0, n, STRETCH):
+            runs = _stretch_runs(data, base, size, s, min(STRETCH, n - s), length)
+            if held.size and runs.size and (runs[:2, 0] == held[:2, 0]).all():
+                runs[3, 0] = held[3, 0]  # a run that goes on from the stretch before
+            else:
+                runs = np.concatenate([held, runs], axis=1)
+            runs, held = (runs[:, :-1], runs[:, -1:]) if s + STRETCH < n else (runs, held)
+            digest = b"".join(hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(runs[3].tolist(), (runs[4] + length).tolist(), strict=True))
+            d = np.frombuffer(digest, np.int64).reshape(-1, 2).T
+            one, twice = _once_per_text(np.concatenate([runs, d, np.zeros((1, runs.shape[1]), np.int64)]))
+            kept.append(one)
+            spans.append(np.stack(merged(*twice)))
+        one, twice = _once_per_text(np.concatenate(kept, axis=1)) if len(kept) > 2 else (kept[-1], spans[0])
+        kept, spans = [one], [*spans, twice]
+        one[[1, 3, 4]] -= base[one[0]]
+    found, own = kept[0], np.concatenate(spans, axis=1)
+    if own.size:
+        own = np.stack(merged(*own))
+        own[1:] -= base[own[0]]
+    return found, own
+
+
+def _lists(text: np.ndarray, n: int, values: list[np.ndarray]) -> list[pa.Array]:
+    """Columns of lists, from values in order of their text."""
+    bounds = pa.array(np.r_[0, np.cumsum(np.bincount(text, minlength=n))].astype(np.int32))
+    return [pa.ListArray.from_arrays(bounds, pa.array(np.ascontiguousarray(v))) for v in values]
 
 
 def read_texts(docs: DataFrame, folder: str, keep: list[str], words: int = 0) -> DataFrame:
-    """One row per row of ``docs``: its text's place, digest and anchors."""
-    schema = ", ".join([READ, *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)])
-    longs, length = pa.list_(pa.int64()), _length(words)
+    """One row per row of ``docs``: ``kept``, its text's place, digest and anchors."""
+    from pyspark.sql.types import StructType
+
+    chosen = docs.select(F.struct(*keep).alias("kept"), F.col("text").cast("string").alias("text"))
+    schema, length = StructType([chosen.schema["kept"], *StructType.fromDDL(READ)]), _length(words)
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -151,11 +224,14 @@ def read_texts(docs: DataFrame, folder: str, keep: list[str], words: int = 0) ->
         pack = zstandard.ZstdCompressor(level=1)
         with files.replacing(archive(folder, task)) as out:
             for b in batches:
-                texts = [(t or "").encode() for t in b.column(b.num_columns - 1).to_pylist()]
-                for start, stop in _portions([len(t) for t in texts]):
-                    part = texts[start:stop]
+                sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
+                for start, stop in _portions(sizes):
+                    n = stop - start
+                    part = [(t or "").encode() for t in b.column(1).slice(start, n).to_pylist()]
                     sha = [hashlib.sha256(t).digest() for t in part]
                     place, fresh = [], []
+                    if len(seen) > _REMEMBERED:
+                        seen.clear()
                     for i, (d, t) in enumerate(zip(sha, part, strict=True)):
                         if d not in seen:
                             z = pack.compress(t)
@@ -164,38 +240,37 @@ def read_texts(docs: DataFrame, folder: str, keep: list[str], words: int = 0) ->
                             at += len(z)
                             fresh.append(i)
                         place.append(seen[d])
-                    found = find_anchors([word_codes(part[i])[0] if words else part[i] for i in fresh], length)
-                    count = np.zeros(len(part), np.int64)
-                    count[fresh] = np.bincount(found[0], minlength=len(fresh))
-                    spot = found[2] << 2 * _REACH_BITS | (found[2] - found[3]) << _REACH_BITS | (found[2] - found[4])
-                    bounds = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32))
-                    is_first = np.zeros(len(part), bool)
+                    found, own = find_anchors([word_codes(part[i])[0] if words else part[i] for i in fresh], length)
+                    t, pos, kh, first, last, d1, d2, again = found
+                    spot = pos << (2 * _REACH_BITS + 1) | (pos - first) << (_REACH_BITS + 1) | (pos - last) << 1 | again
+                    old = np.array(fresh, np.int64)
+                    is_first = np.zeros(n, bool)
                     is_first[fresh] = True
-                    n = len(part)
                     yield pa.RecordBatch.from_arrays(
                         [
+                            b.column(0).slice(start, n),
                             pa.array(np.arange(row, row + n) + (task << _ROW_BITS)),
-                            pa.array([p[0] << _SIZE_BITS | p[1] for p in place], pa.int64()),
-                            pa.array([len(t) for t in part], pa.int64()),
-                            pa.array([d.hex() for d in sha]),
+                            pa.array([p[0] for p in place], pa.int64()),
+                            pa.array([p[1] for p in place], pa.int64()),
+                            pa.array(sizes[start:stop], pa.int64()),
+                            pa.array(sha, pa.binary()),
                             pa.array(is_first),
-                            pa.ListArray.from_arrays(bounds, pa.array(found[1])).cast(longs),
-                            pa.ListArray.from_arrays(bounds, pa.array(spot)).cast(longs),
-                            *(b.column(i).slice(start, n) for i in range(b.num_columns - 1)),
+                            *_lists(old[t], n, [kh, d1, d2, spot]),
+                            *_lists(old[own[0]], n, [own[1], own[2]]),
                         ],
-                        names=[x.strip().split(" ")[0] for x in READ.split(", ")] + keep,
+                        names=names,
                     )
                     row += n
         # an empty partition leaves an empty archive and no rows
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return chosen.mapInArrow(run, schema)
 
 
 def archive(folder: str, task: int) -> str:
     return f"{folder}/part-{task:06d}.texts"
 
 
-def _portions(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _portions(sizes: list[int], most: int = PORTION) -> Iterator[tuple[int, int]]:
     start, total = 0, 0
     for i, n in enumerate(sizes):
         total += n
@@ -206,26 +281,25 @@ def _portions(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]
         yield start, len(sizes)
 
 
-def texts_at(folder: str, rows: Iterator[tuple[int, int]]) -> Iterator[bytes]:
-    """Texts by (rid, loc); each archive stays open while it is used."""
-    import contextlib
-
+def texts_at(folder: str, rows: Iterator[tuple[int, int, int]]) -> Iterator[bytes]:
+    """Texts by rid and place; each archive stays open while it is used."""
     import zstandard
 
     unpack, now = zstandard.ZstdDecompressor(), None
     with contextlib.ExitStack() as stack:
-        for rid, loc in rows:
+        for rid, at, packed in rows:
             if rid >> _ROW_BITS != now:
                 stack.close()
                 now = rid >> _ROW_BITS
                 f = stack.enter_context(files.reading(archive(folder, now)))
-            f.seek(loc >> _SIZE_BITS)
-            yield unpack.decompress(f.read(loc & (1 << _SIZE_BITS) - 1))
+            f.seek(at)
+            yield unpack.decompress(f.read(packed))
 
 
 def _by_archive(df: DataFrame) -> DataFrame:
-    """Rows dealt to tasks by their archive, in its order."""
-    return df.withColumn("_task", F.shiftright("rid", _ROW_BITS)).repartition("_task").sortWithinPartitions("_task", "loc").drop("_task")
+    """Rows dealt to tasks by stretches of their archive, in its order."""
+    near = df.withColumns({"_task": F.shiftright("rid", _ROW_BITS), "_near": F.shiftright("at", 22)})
+    return near.repartition("_task", "_near").sortWithinPartitions("_task", "at").drop("_task", "_near")
 
 
 # ------------------------------------------------------------- the suffix sort
@@ -326,11 +400,12 @@ def _again(data: np.ndarray, keys: list[np.ndarray], at: np.ndarray, length: np.
     return out
 
 
-def repeated_in_groups(kh: np.ndarray, contexts: list[bytes], anchor: np.ndarray, least: np.ndarray, most: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_in_groups(kh: np.ndarray, contexts: list[bytes], anchor: np.ndarray, least: np.ndarray, most: np.ndarray, alone: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entry, and first and last offset of string begins before the anchor, of repeats.
 
     Entries of one ``kh`` stand together.  ``anchor`` is the anchor's place in
     the context; its strings begin ``least`` to ``most`` bytes before it.
+    Entries that aren't ``alone`` are known to repeat and only matter to others.
     """
     data = np.frombuffer(b"".join(contexts), np.uint8)
     sums = prefix_sums(data)
@@ -350,7 +425,8 @@ def repeated_in_groups(kh: np.ndarray, contexts: list[bytes], anchor: np.ndarray
     pair = np.flatnonzero(group[1:] == group[:-1])
     alike[pair + 1] = common_extension(sums, core[pair], core[pair + 1], shared_bytes) == shared_bytes
     cls = np.cumsum(~alike) - 1
-    shared = np.bincount(cls)[cls] > 1
+    shared = (np.bincount(cls) > 1) & (np.bincount(cls, alone[entry]) > 0)
+    shared = shared[cls]
     entry, block, core, cls = entry[shared], block[shared], core[shared], cls[shared]
     if not len(entry):
         return (np.zeros(0, np.int64),) * 3
@@ -362,7 +438,7 @@ def repeated_in_groups(kh: np.ndarray, contexts: list[bytes], anchor: np.ndarray
     lo, hi = np.maximum(BLOCK * block, least[entry]), np.minimum(BLOCK * block + BLOCK - 1, most[entry])
     found = [(entry[full], lo[full], hi[full])]
     mixed = np.zeros(cls.max() + 1, bool)
-    mixed[cls[~full]] = True
+    mixed[cls[~full & alone[entry]]] = True
     rest = np.flatnonzero(mixed[cls])
     if len(rest):
         many = hi[rest] - lo[rest] + 1
@@ -371,23 +447,59 @@ def repeated_in_groups(kh: np.ndarray, contexts: list[bytes], anchor: np.ndarray
         at = base[entry[e]] + anchor[entry[e]] - back
         hit = _again(data, [cls[e], back, part_hashes(sums, at, length)], at, np.full(len(at), length))
         found.append((entry[e[hit]], back[hit], back[hit]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    entry, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+    own = alone[entry]
+    return merged(entry[own], lo[own], hi[own])
 
 
 # ----------------------------------------------------------------------- tables
 
 
-def _candidates(firsts: DataFrame, hot: int) -> DataFrame:
-    """Anchors that occur again, one row each, and whether in over ``hot`` places."""
-    each = firsts.select("rid", "loc", F.explode(F.arrays_zip("anchors", "spots")).alias("a")).select("rid", "loc", F.col("a.anchors").alias("kh"), F.col("a.spots").alias("spot"))
-    counts = each.groupBy("kh").agg(F.count("*").alias("n")).filter("n > 1").select("kh", (F.col("n") > hot).alias("hot"))
-    return each.join(counts, "kh")
+def _anchor(spot: np.ndarray) -> list[np.ndarray]:
+    """Where anchors begin, and how far before them their last and first strings do."""
+    mask = (1 << _REACH_BITS) - 1
+    return [spot >> 2 * _REACH_BITS + 1, spot >> 1 & mask, spot >> _REACH_BITS + 1 & mask]
 
 
-def _anchor(spot: int) -> tuple[int, int, int]:
-    """Where an anchor begins, and how far before it its last and first strings do."""
-    mask = (1 << _REACH_BITS) - 1
-    return spot >> 2 * _REACH_BITS, spot & mask, spot >> _REACH_BITS & mask
+def _span() -> list:
+    """``first`` and ``last``, where an anchor's strings begin."""
+    pos, mask = F.shiftright("spot", 2 * _REACH_BITS + 1), (1 << _REACH_BITS) - 1
+    return [(pos - F.shiftright("spot", _REACH_BITS + 1).bitwiseAND(F.lit(mask))).alias("first"), (pos - F.shiftright("spot", 1).bitwiseAND(F.lit(mask))).alias("last")]
+
+
+def _dealt(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join whose sides are dealt anew, so that Spark can split a frequent key.
+
+    Where a side is an aggregation by the same columns, Spark would keep its
+    dealing and could not; a hash of them as a key more prevents that.
+    """
+    hashed = lambda d: d.withColumn("_h", F.hash(*on))
+    return hashed(a).join(hashed(b), [*on, "_h"], how).drop("_h")
+
+
+def _anchors_again(rows: DataFrame) -> DataFrame:
+    """Anchors that occur in two places or more, one row each.
+
+    A place is a text's digest with a place in it, so copies of a text that
+    different tasks met are in one place.
+    """
+    text = F.conv(F.hex(F.substring("sha", 1, 8)), 16, -10).cast("long").alias("text")
+    each = rows.filter("first").select("rid", text, F.inline(F.arrays_zip(*_LONGS[:4]))).withColumnsRenamed({"anchors": "kh", "spots": "spot"})
+    each = each.withColumn("place", F.xxhash64("text", "spot")).drop("text")
+    again = each.groupBy("kh").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a < b").select("kh")
+    return _dealt(each, again, ["kh"])
+
+
+def _runs(found: DataFrame) -> DataFrame:
+    """Classes of equal runs: one of each, whether it is ``alone``, and whether it is in two places."""
+    got = found.groupBy("kh", "d1", "d2").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.max(F.col("spot").bitwiseAND(F.lit(1))).alias("again"), F.min(F.struct("rid", "spot")).alias("one"))
+    return got.select("kh", "d1", "d2", "one.rid", "one.spot", (F.col("a") < F.col("b")).alias("several"), ((F.col("a") == F.col("b")) & (F.col("again") == 0)).alias("alone"))
+
+
+def _classes(runs: DataFrame, hot: int) -> DataFrame:
+    """Runs of anchors with several classes, one of them ``alone``; ``hot`` where they have very many."""
+    counts = runs.groupBy("kh").agg(F.count("*").alias("m"), F.max("alone").alias("any")).filter("m > 1 and any").select("kh", (F.col("m") > hot).alias("hot"))
+    return _dealt(runs, counts, ["kh"]).select("kh", "rid", "spot", "alone", "hot")
 
 
 @cache
@@ -398,40 +510,46 @@ def _packer():
     return zstandard.ZstdCompressor(level=1)
 
 
-_CONTEXT = "kh long, rid long, pos int, least int, most int, anchor int, context binary"
-_RUN = "kh long, rid long, pos int, least int, most int, whole long, blocks array<struct<block:int,core:long,hull:long>>"
+_CONTEXT = "kh long, rid long, pos long, least int, most int, alone boolean, anchor int, context binary"
+_SUFFIX = "kh long, rid long, first long, last long, alone boolean, block int, edge int, core binary, before binary, after binary"
 
 
-def _at_anchors(chosen: DataFrame, folder: str, schema: str, types: tuple, one, words: int) -> DataFrame:
-    """Rows that ``one`` makes of each anchor's text (and its codes), key, place and strings."""
-    names = [x.split(" ")[0] for x in schema.split(", ")][: len(types)]
+def _at_anchors(chosen: DataFrame, places: DataFrame, folder: str, schema: str, one: Callable, words: int) -> DataFrame:
+    """Rows that ``one`` makes of each text (and its codes) and anchor."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        make = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
         rows, size = [], 0
         for b in batches:
-            listed = b.to_pylist()
-            for r, text in zip(listed, texts_at(folder, ((r["rid"], r["loc"]) for r in listed)), strict=True):
+            listed = b.column("found")
+            where = zip(*(b.column(c).to_pylist() for c in ("rid", "at", "packed")), strict=True)
+            for i, text in enumerate(texts_at(folder, where)):
+                rid, found = b.column("rid")[i].as_py(), listed[i].values
+                kh, spot, alone = (found.field(k).to_numpy(zero_copy_only=False) for k in range(3))
                 text = (text, *word_codes(text)) if words else text
-                for a in r["found"]:
-                    row, weight = one(text, a["kh"], *_anchor(a["spot"]))
-                    rows.append((a["kh"], r["rid"], *row))
-                    size += weight
-                if size > BATCH_BYTES:
-                    yield make(rows)
-                    rows, size = [], 0
+                for k, pos, least, most, a in zip(*(x.tolist() for x in (kh, *_anchor(spot), alone)), strict=True):
+                    for row, weight in one(text, pos, least, most, a):
+                        rows.append((k, rid, *row))
+                        size += weight
+                    if size > BATCH_BYTES:
+                        yield make()
+                        rows, size = [], 0
         if rows:
-            yield make(rows)
+            yield make()
 
-    listed = chosen.groupBy("rid", "loc").agg(F.collect_list(F.struct("kh", "spot")).alias("found"))
-    return _by_archive(listed).select("rid", "loc", "found").mapInArrow(run, schema)
+    listed = chosen.groupBy("rid").agg(F.collect_list(F.struct("kh", "spot", "alone")).alias("found"))
+    return _by_archive(listed.join(places, "rid")).select("rid", "at", "packed", "found").mapInArrow(run, schema)
 
 
-def _surroundings(chosen: DataFrame, folder: str, words: int) -> DataFrame:
+def _surroundings(chosen: DataFrame, places: DataFrame, folder: str, words: int) -> DataFrame:
     """Packed contexts of anchors; those of words begin and end with a word."""
     length = _length(words)
 
-    def one(text: bytes | tuple, kh: int, pos: int, least: int, most: int) -> tuple[tuple, int]:
+    def one(text: bytes | tuple, pos: int, least: int, most: int, alone: bool) -> Iterator[tuple[tuple, int]]:
         start, end = max(0, pos - (most // BLOCK * BLOCK + BLOCK - 1)), pos - least // BLOCK * BLOCK + length
         if words:
             text, _, begins, ends = text
@@ -439,40 +557,12 @@ def _surroundings(chosen: DataFrame, folder: str, words: int) -> DataFrame:
             start, cut = a * WORD, _packer().compress(text[begins[a] : ends[b - 1]])
         else:
             cut = _packer().compress(text[start:end])
-        return (pos, least, most, pos - start, cut), len(cut) + 100
-
-    return _at_anchors(chosen, folder, _CONTEXT, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), one, words)
-
-
-def _runs(chosen: DataFrame, folder: str, words: int) -> DataFrame:
-    """Hashes of anchors' whole runs of strings and of their blocks."""
-    length = _length(words)
-
-    def one(text: bytes | tuple, kh: int, pos: int, least: int, most: int) -> tuple[tuple, int]:
-        text = text[1] if words else text
-        blocks = list(_block_hashes(text, kh, pos, least, most, length))
-        whole = _signed(xxhash.xxh64_intdigest(memoryview(text)[pos - most : pos - least + length], least * 1024 + most))
-        return (pos, least, most, whole, blocks), 50 + 40 * len(blocks)
-
-    hashes = pa.list_(pa.struct([("block", pa.int32()), ("core", pa.int64()), ("hull", pa.int64())]))
-    return _at_anchors(chosen, folder, _RUN, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), hashes), one, words)
+        yield (pos, least, most, alone, pos - start, cut), len(cut) + 100
 
+    return _at_anchors(chosen, places, folder, _CONTEXT, one, words)
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
 
-
-def _block_hashes(text: bytes, kh: int, pos: int, least: int, most: int, length: int) -> Iterator[dict]:
-    """Hashes of cores, one for each anchor and block, and of surroundings."""
-    view = memoryview(text)
-    for block in range(least // BLOCK, most // BLOCK + 1):
-        core = pos - BLOCK * block
-        left, right = max(0, core - (BLOCK - 1)), min(len(text), core + length)
-        shape = (core - left) * 1024 + right - core
-        yield {"block": block, "core": _signed(xxhash.xxh64_intdigest(view[core : core + length - BLOCK + 1], (kh + block) % (1 << 64))), "hull": _signed(xxhash.xxh64_intdigest(view[left:right], shape))}
-
-
-REPEATS = "rid long, first int, last int"
+REPEATS = "rid long, first long, last long"
 
 
 def _sorted_repeats(contexts: DataFrame, words: int) -> DataFrame:
@@ -480,23 +570,23 @@ def _sorted_repeats(contexts: DataFrame, words: int) -> DataFrame:
     length = _length(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        size = 0
-
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
+        held: list = []
+        size = 0
 
         def solve(rows: list) -> pa.RecordBatch:
-            kh, rid, pos, least, most, anchor, context = zip(*rows, strict=True)
+            kh, rid, pos, least, most, alone, anchor, context = zip(*rows, strict=True)
             context = [unpack.decompress(c) for c in context]
             context = [word_codes(c)[0] for c in context] if words else context
             kh, rid, pos, least, most, anchor = (np.array(x, np.int64) for x in (kh, rid, pos, least, most, anchor))
-            entry, lo, hi = repeated_in_groups(kh, context, anchor, least, most, length)
-            return pa.RecordBatch.from_arrays([pa.array(rid[entry]), pa.array((pos[entry] - hi).astype(np.int32)), pa.array((pos[entry] - lo).astype(np.int32))], names=["rid", "first", "last"])
+            entry, lo, hi = repeated_in_groups(kh, context, anchor, least, most, np.array(alone, bool), length)
+            spans = merged(np.unique(rid, return_inverse=True)[1][entry], pos[entry] - hi, pos[entry] - lo)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.unique(rid)[spans[0]], *spans[1:])], names=["rid", "first", "last"])
 
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            for row in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
                 if size > BATCH_BYTES and row[0] != held[-1][0]:
                     yield solve(held)
                     held, size = [], 0
@@ -505,83 +595,126 @@ def _sorted_repeats(contexts: DataFrame, words: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return contexts.select("kh", "rid", "pos", "least", "most", "anchor", "context").repartition("kh").sortWithinPartitions("kh", "rid", "pos").mapInArrow(run, REPEATS)
+    return contexts.repartition("kh").sortWithinPartitions("kh", "rid", "pos").mapInArrow(run, REPEATS)
+
 
+# --------------------------------------------------- anchors of very many classes
 
-def _counted_repeats(anchors: DataFrame, places: DataFrame, folder: str, words: int) -> DataFrame:
-    """Repeats among hot anchors, by counting hashes."""
+
+def _suffixes(chosen: DataFrame, places: DataFrame, folder: str, words: int) -> DataFrame:
+    """Cores of anchors' blocks, each with what surrounds it."""
     length = _length(words)
-    run_at = anchors.select("kh", "whole", "rid", "pos", "least", "most", "blocks", F.xxhash64("rid", "pos").alias("where"))
-    wholes = run_at.groupBy("kh", "whole").agg(F.min("where").alias("w_min"), F.max("where").alias("w_max"))
-    runs = run_at.join(wholes, ["kh", "whole"])
-    repeated = runs.filter("w_min < w_max").select("rid", (F.col("pos") - F.col("most")).alias("first"), (F.col("pos") - F.col("least")).alias("last"))
-    # the blocks of one run of those alike: they matter to others, and to itself if it is alone
-    ones = runs.filter("`where` = w_min").select("rid", "pos", "least", "most", (F.col("w_min") == F.col("w_max")).alias("alone"), F.inline("blocks"))
-    at = ones.select("rid", "core", "hull", "pos", "block", "least", "most", "alone", F.xxhash64("rid", F.col("pos") - BLOCK * F.col("block")).alias("where"))
-    hulls = at.groupBy("core", "hull").agg(F.min("where").alias("h_min"), F.max("where").alias("h_max"))
-    cores = hulls.groupBy("core").agg(F.count("*").alias("n_hulls"), F.min("h_min").alias("c_min"), F.max("h_max").alias("c_max")).filter("c_min < c_max").select("core", "n_hulls")
-    of_block = at.join(hulls.join(cores, "core"), ["core", "hull"])
-    first = F.col("pos") - F.least(F.col("most"), BLOCK * F.col("block") + BLOCK - 1)
-    last = F.col("pos") - F.greatest(F.col("least"), BLOCK * F.col("block"))
-    of_block = of_block.withColumns({"first": first, "last": last})
-    full = repeated.unionByName(of_block.filter("alone and h_min < h_max").select("rid", "first", "last"))
-    # one block of each different surrounding, where a core has several
-    edge = of_block.filter("n_hulls > 1 and `where` = h_min").select("rid", "first", "last", (F.col("alone") & (F.col("h_min") == F.col("h_max"))).alias("single"))
-    listed = edge.groupBy("rid").agg(F.collect_list(F.struct("first", "last", "single")).alias("blocks")).join(places, "rid")
+
+    def one(text: bytes | tuple, pos: int, least: int, most: int, alone: bool) -> Iterator[tuple[tuple, int]]:
+        text = text[1] if words else text
+        for block in range(least // BLOCK, most // BLOCK + 1):
+            core = pos - BLOCK * block
+            lo, hi = max(BLOCK * block, least), min(BLOCK * block + BLOCK - 1, most)
+            end = core + length - BLOCK + 1
+            yield (pos - hi, pos - lo, alone, block, core, text[core:end], text[max(0, core - BLOCK + 1) : core], text[end : end + BLOCK - 1]), 2 * length
+
+    return _at_anchors(chosen, places, folder, _SUFFIX, one, words)
+
+
+_EDGE = "c1 long, c2 long, rid long, first long, last long, alone boolean, edge int, before binary, after binary"
+
+
+def _ranged_repeats(suffixes: DataFrame) -> DataFrame:
+    """Repeats among suffixes, sorted by ranges; a frequent core is in no task as a whole after that.
+
+    Two strings that hold one core at one place are equal if what they have
+    of its surroundings is, so only that is grouped, by its bytes.
+    """
+    keys = ("kh", "block", "core")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split(" ")[0] for x in _EDGE.split(", ")]
+        before, held = None, None  # the core above; its first row, until a second is found
         for b in batches:
-            for i in range(0, b.num_rows, 200):
-                rows = b.slice(i, 200).to_pylist()
-                out: list = []
-                for r, text in zip(rows, texts_at(folder, ((r["rid"], r["loc"]) for r in rows)), strict=True):
-                    view = memoryview(word_codes(text)[0] if words else text)
-                    for k in r["blocks"]:
-                        out += [(_signed(xxhash.xxh64_intdigest(view[s : s + length])), r["rid"], s, k["single"]) for s in range(k["first"], k["last"] + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], names=["string", "rid", "first", "single"])
-
-    strings = _by_archive(listed.select("rid", "loc", "blocks")).select("rid", "loc", "blocks").mapInArrow(run, "string long, rid long, first int, single boolean")
-    strings = staging.stage(strings, "edge-strings").withColumn("where", F.xxhash64("rid", "first"))
-    again = strings.groupBy("string").agg(F.min("where").alias("a"), F.max("where").alias("b")).filter("a < b").select("string")
-    edges = strings.filter("single").join(again, "string").select("rid", "first", F.col("first").alias("last"))
-    return full.unionByName(edges)
+            out = []
+            for r in b.to_pylist():
+                core = tuple(r[k] for k in keys)
+                row = (r["rid"], r["first"], r["last"], r["alone"], r["edge"], r["before"], r["after"])
+                if core != before:
+                    name = np.frombuffer(hashlib.blake2b(core[2], digest_size=16, key=f"{core[0]}:{core[1]}".encode()).digest(), np.int64).tolist()
+                    before, held = core, row
+                    continue
+                if held is not None:
+                    out.append((*name, *held))
+                    held = None
+                out.append((*name, *row))
+            if out:
+                types = [pa.int64()] * 5 + [pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    ranged = suffixes.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, _EDGE)
+    edges = staging.stage(ranged, "shared-cores")
+    hull = ["c1", "c2", "before", "after"]
+    hulls = edges.groupBy(*hull).agg(F.count("*").alias("n"))
+    of = edges.join(hulls, hull)
+    whole = of.filter("n > 1 and alone").select("rid", "first", "last")
+    # one of each surrounding, string by string: what it has before and after the core
+    one = edges.groupBy(*hull).agg(F.count("*").alias("n"), F.min(F.struct("rid", "first", "last", "alone", "edge")).alias("r")).select(*hull, "n", "r.*")
+    each = one.withColumn("at", F.explode(F.sequence("first", "last"))).withColumn("j", (F.col("edge") - F.col("at")).cast("int"))
+    each = each.withColumn("said", F.concat(F.expr("substring(before, length(before) - j + 1, j)"), F.expr(f"substring(after, 1, {BLOCK - 1} - j)")))
+    string = ["c1", "c2", "j", "said"]
+    each = each.select(*string, "rid", "at", (F.col("alone") & (F.col("n") == 1)).alias("alone"))
+    strings = each.groupBy(*string).agg(F.count("*").alias("m"), F.max("alone").alias("any")).filter("m > 1 and any").select(*string)
+    edge = each.filter("alone").join(strings, string).select("rid", F.col("at").alias("first"), F.col("at").alias("last"))
+    return whole.unionByName(edge)
+
+
+# --------------------------------------------------------------------- all texts
 
 
 def find_repeats(docs: DataFrame, keep: list[str], hot: int = HOT, words: int = 0) -> tuple[DataFrame, str]:
     """Rows of ``docs`` with their text's place and ``spans`` of repeats.
 
-    ``spans`` lists (first, last) begins of repeated strings in no order;
-    ``copies`` counts the rows of equal text.  With ``words``, strings are
-    those of the codes of so many words.
+    ``own_first``, ``own_last`` and ``spans`` list first and last begins of
+    repeated strings in no order; ``copies`` counts the rows of equal text;
+    ``kept`` holds the columns ``keep``.  With ``words``, strings are those of
+    the codes of so many words.
     """
     spark = docs.sparkSession
-    if clash := {x.strip().split(" ")[0] for x in READ.split(", ")} & set(keep):
-        raise ValueError(f"columns can't be kept under these names: {sorted(clash)}")
     staging.ship(spark)
     folder = staging.new_path(spark, "texts")
     files.make_folder(folder)
     rows = staging.stage(read_texts(docs, folder, keep, words), "text-rows")
-    shas = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min(F.when(F.col("first"), F.col("rid"))).alias("owner"))
-    shas = staging.stage(shas.filter("copies > 1"), "text-copies")
-    once = rows.filter("first").join(shas.select("sha", "owner"), "sha", "left").filter("owner is null or owner = rid")
-    found = staging.stage(_candidates(once.select("rid", "loc", "anchors", "spots"), hot), "anchors-again")
-    repeats = _sorted_repeats(_surroundings(found.filter("not hot"), folder, words), words).unionByName(_counted_repeats(staging.stage(_runs(found.filter("hot"), folder, words), "runs"), once.select("rid", "loc"), folder, words))
-    spans = staging.stage(repeats.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
-    out = rows.drop("anchors", "spots", "first").join(shas.select("sha", "copies"), "sha", "left").join(spans, "rid", "left")
+    shas = rows.groupBy("sha").agg(F.count("*").alias("copies")).filter("copies > 1")
+    found = staging.stage(_anchors_again(rows), "anchors-again")
+    runs = staging.stage(_runs(found), "runs")
+    several = _dealt(found, runs.filter("several").select("kh", "d1", "d2"), ["kh", "d1", "d2"]).select("rid", *_span())
+    classes = staging.stage(_classes(runs, hot), "classes")
+    places = rows.select("rid", "at", "packed")
+    contexts = _surroundings(classes.filter("not hot"), places, folder, words)
+    sorted_ = _sorted_repeats(contexts, words)
+    ranged = _ranged_repeats(_suffixes(classes.filter("hot"), places, folder, words))
+    spans = several.unionByName(sorted_).unionByName(ranged)
+    spans = staging.stage(spans.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+    out = _dealt(rows.drop(*_LONGS[:4], "first"), shas, ["sha"], "left").join(spans, "rid", "left")
     return out.withColumn("copies", F.coalesce("copies", F.lit(1))), folder
 
 
-def covered(n: int, copies: int, spans: list | None) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that repeated strings cover."""
+def _spans_of(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last begins of row ``i``'s repeated strings, in order."""
+    first, last = ([b.column(c)[i].values] for c in ("own_first", "own_last"))
+    if b.column("spans")[i].is_valid:
+        more = b.column("spans")[i].values
+        first.append(more.field(0))
+        last.append(more.field(1))
+    first, last = (np.concatenate([x.to_numpy(zero_copy_only=False) for x in xs]) for xs in (first, last))
+    return merged(np.zeros(len(first), np.int64), first, last)[1:]
+
+
+def covered(n: int, copies: int, first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of bytes that repeated strings, beginning at merged spans, cover."""
     if copies > 1:
         return [(0, n)] if n >= LENGTH else []
-    out: list[tuple[int, int]] = []
-    for first, last in sorted((s["first"], s["last"] + LENGTH) for s in spans or ()):
-        if out and first <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], last))
-        else:
-            out.append((first, last))
-    return out
+    _, first, last = merged(np.zeros(len(first), np.int64), first, last + LENGTH - 1)
+    return list(zip(first.tolist(), (last + 1).tolist(), strict=True))
+
+
+RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], text: bool = False, hot: int = HOT) -> DataFrame:
@@ -589,70 +722,76 @@ def remove_repeats(docs: DataFrame, keep: list[str], text: bool = False, hot: in
 
     A character that a repeat begins or ends inside of is left out of ``kept``.
     """
+    from pyspark.sql.types import StructType
+
     found, folder = find_repeats(docs, keep, hot)
-    types = {f.name: f.dataType.simpleString() for f in found.schema}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept string"] * text)])
-    changed = F.col("n_bytes") >= 0 if text else F.col("spans").isNotNull() & (F.col("copies") == 1)
+    made = StructType.fromDDL(RESULT + ", kept_text string" * text)
+    schema = StructType([found.schema["kept"], *made])
+    changed = F.lit(True) if text else (F.col("spans").isNotNull() | (F.size("own_first") > 0)) & (F.col("copies") == 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 part = b.slice(i, 200)
-                rows = part.select(["n_bytes", "sha", "copies", "spans", "rid", "loc"]).to_pylist()
-                runs = [covered(r["n_bytes"], r["copies"], r["spans"]) for r in rows]
-                read = texts_at(folder, ((r["rid"], r["loc"]) for r, cut in zip(rows, runs, strict=True) if text or 0 < sum(y - x for x, y in cut) < r["n_bytes"]))
-                kept: list = []
-                for r, cut in zip(rows, runs, strict=True):
-                    gone = sum(y - x for x, y in cut)
-                    whole = next(read) if text or 0 < gone < r["n_bytes"] else None
-                    if gone == 0:
-                        kept.append((r["n_bytes"], 0, 0, r["sha"], whole))
-                        continue
-                    left = b"" if gone == r["n_bytes"] else b"".join(whole[x:y] for x, y in zip([0, *(y for _, y in cut)], [*(x for x, _ in cut), r["n_bytes"]], strict=True))
-                    kept.append((r["n_bytes"], gone, len(cut), hashlib.sha256(left).hexdigest(), left))
-                if text:
-                    kept = [(*k[:4], k[4].decode("utf-8", "ignore")) for k in kept]
-                made = [pa.array(c, t) for c, t in zip(list(zip(*kept, strict=True))[: 4 + text], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())[: 4 + text], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] * text)])
-
-    out = _by_archive(found.filter(changed)).select(*keep, "n_bytes", "sha", "copies", "spans", "rid", "loc").mapInArrow(run, schema)
-    if text:
-        return out
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
-    rest = found.filter(~changed).select(*keep, "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(whole, 1).otherwise(0).cast("long").alias("n_spans"), F.when(whole, F.lit(hashlib.sha256().hexdigest())).otherwise(F.col("sha")).alias("kept_sha256"))
-    return out.unionByName(rest)
-
-
-def without_passages(text: bytes, copies: int, spans: list | None, words: int) -> bytes:
-    """What stays of a text; ``spans`` are those of its codes."""
-    if copies == 1 and not spans:
+                rows = list(zip(*(part.column(c).to_pylist() for c in ("n_bytes", "sha", "copies", "rid", "at", "packed")), strict=True))
+                runs = [covered(n, copies, *_spans_of(part, k)) for k, (n, _, copies, *_) in enumerate(rows)]
+                gone = [sum(y - x for x, y in cut) for cut in runs]
+                read = texts_at(folder, (r[3:] for r, g in zip(rows, gone, strict=True) if text or 0 < g < r[0]))
+                out: list = []
+                for (n, sha, *_), cut, g in zip(rows, runs, gone, strict=True):
+                    whole = next(read) if text or 0 < g < n else b""
+                    left = whole if not g else b"".join(whole[x:y] for x, y in zip([0, *(y for _, y in cut)], [*(x for x, _ in cut), n], strict=True))
+                    out.append((n, g, len(cut), hashlib.sha256(left).hexdigest() if g else sha.hex(), left.decode("utf-8", "ignore") if text else None))
+                arrays = [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True))[: len(made)], [pa.int64()] * 3 + [pa.string()] * 2, strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column("kept"), *arrays], names=["kept", *made.names])
+
+    chosen = _by_archive(found.filter(changed)).select("kept", "n_bytes", "sha", "copies", "own_first", "own_last", "spans", "rid", "at", "packed")
+    out = chosen.mapInArrow(run, schema)
+    if not text:
+        whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
+        rest = found.filter(~changed).select("kept", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(whole, 1).otherwise(0).cast("long").alias("n_spans"), F.when(whole, F.lit(hashlib.sha256().hexdigest())).otherwise(F.lower(F.hex("sha"))).alias("kept_sha256"))
+        out = out.unionByName(rest)
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    stay = [F.col("kept").getField(c).alias(c) for c in keep if c not in [*names, *(["kept"] * text)]]
+    return out.select(*stay, *names, *([F.col("kept_text").alias("kept")] * text))
+
+
+def without_passages(text: bytes, copies: int, first: np.ndarray, last: np.ndarray, words: int) -> bytes:
+    """What stays of a text; ``first`` and ``last`` are of merged spans of its codes."""
+    if copies == 1 and not len(first):
         return text
     _, begins, ends = word_codes(text)
     if copies > 1:
         runs = [(0, len(ends))] if len(ends) >= words else []
     else:
-        runs = [(-(-s["first"] // WORD), s["last"] // WORD + words) for s in spans if -(-s["first"] // WORD) <= s["last"] // WORD]  # begins inside a word aside
+        a, b = -(-first // WORD), last // WORD
+        runs = [(x, y + words) for x, y in zip(a.tolist(), b.tolist(), strict=True) if x <= y]  # begins inside a word aside
     out, at = [], 0
-    for first, last in sorted(runs):
-        if begins[first] > at and not (out and text[at : begins[first]].isspace()):
-            out.append(text[at : begins[first]])
-        at = max(at, ends[last - 1])
+    for x, y in runs:
+        if begins[x] > at and not (out and text[at : begins[x]].isspace()):
+            out.append(text[at : begins[x]])
+        at = max(at, int(ends[y - 1]))
     return b"".join([*out, text[at:]])
 
 
 def remove_passages(docs: DataFrame, keep: list[str], words: int, hot: int = HOT) -> DataFrame:
     """Columns ``keep`` and ``kept``, the text without any passage of ``words`` words or more that repeats."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
     found, folder = find_repeats(docs, keep, hot, words)
-    types = {f.name: f.dataType.simpleString() for f in found.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 200):
-                part = b.slice(i, 200)
-                rows = part.select(["copies", "spans", "rid", "loc"]).to_pylist()
-                texts = texts_at(folder, ((r["rid"], r["loc"]) for r in rows))
-                kept = [without_passages(t, r["copies"], r["spans"], words).decode() for r, t in zip(rows, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(kept, pa.string())], names=[*keep, "kept"])
-
-    chosen = _by_archive(found).select(*keep, "copies", "spans", "rid", "loc")
-    return chosen.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "kept string"]))
+            copies = b.column("copies").to_pylist()
+            texts = texts_at(folder, zip(*(b.column(c).to_pylist() for c in ("rid", "at", "packed")), strict=True))
+            out, size, start = [], 0, 0
+            for i, t in enumerate(texts):
+                out.append(without_passages(t, copies[i], *_spans_of(b, i), words).decode())
+                size += len(t)
+                if size > PORTION or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column("kept").slice(start, len(out)), pa.array(out, pa.string())], names=["kept", "left"])
+                    out, size, start = [], 0, i + 1
+
+    chosen = _by_archive(found).select("kept", "copies", "own_first", "own_last", "spans", "rid", "at", "packed")
+    out = chosen.mapInArrow(run, StructType([found.schema["kept"], StructField("left", StringType())]))
+    return out.select(*(F.col("kept").getField(c).alias(c) for c in keep if c != "kept"), F.col("left").alias("kept"))
