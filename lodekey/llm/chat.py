@@ -3,8 +3,10 @@
 Layouts differ: one row per turn, an array of messages, prompt and response
 columns, or instruction, input and output columns.  The nested field paths
 of a schema are hashed, and the hash selects a declarative mapping that
-yields canonical turns ``(conv_id, turn, role, text)``.  JSON records of
-mixed layouts are fingerprinted row by row in the same way.
+yields canonical turns ``(conv_id, turn, role, text)``.  Where a schema has
+fields of several layouts, the first of ``MAPPINGS`` whose paths it all has,
+by the hash of those paths, is chosen.  JSON records of mixed layouts are
+fingerprinted row by row in the same way.
 
 The template writes each turn as ``START role SEP text END``.  Wherever a
 role or text holds a control string, a backslash follows that string's first
@@ -13,8 +15,9 @@ backslash before any character, so texts come back exactly.
 
 Defined results: null role or text is empty; ties in ``turn`` are ordered by
 role, then text; repeated rows are turns of their own; null turn sorts
-first; a null ``conv_id`` is a conversation; extra columns are ignored; an
-empty table gives no rows.  One conversation is one output row, so its turns
+first; a null ``conv_id`` is a conversation; extra columns are ignored, also
+those of layouts lower in ``MAPPINGS``; roles of turn rows stay as they are,
+those of messages get their common names; an empty table gives no rows.  One conversation is one output row, so its turns
 meet in one task: memory grows with the longest conversation only.
 """
 
@@ -73,29 +76,29 @@ class Mapping:
     turns: tuple[tuple[str, str, tuple[str, ...]], ...] = ()
 
 
+#: In order of precedence; of two of which one has more fields, that comes first.
 MAPPINGS = (
     Mapping("turn_rows", ("role", "text", "turn"), order="turn"),
     Mapping("messages_content", ("messages[].content", "messages[].role"), messages="messages", text="content"),
     Mapping("messages_text", ("messages[].role", "messages[].text"), messages="messages"),
     Mapping("conversations_value", ("conversations[].from", "conversations[].value"), messages="conversations", role="from", text="value"),
+    Mapping("system_prompt_response", ("prompt", "response", "system"), turns=(("system", "system", ()), ("user", "prompt", ()), ("assistant", "response", ()))),
     Mapping("prompt_response", ("prompt", "response"), turns=(("user", "prompt", ()), ("assistant", "response", ()))),
     Mapping("prompt_completion", ("completion", "prompt"), turns=(("user", "prompt", ()), ("assistant", "completion", ()))),
-    Mapping("system_prompt_response", ("prompt", "response", "system"), turns=(("system", "system", ()), ("user", "prompt", ()), ("assistant", "response", ()))),
-    Mapping("instruction_output", ("instruction", "output"), turns=(("user", "instruction", ()), ("assistant", "output", ()))),
     Mapping("instruction_input_output", ("input", "instruction", "output"), turns=(("user", "instruction", ("input",)), ("assistant", "output", ()))),
+    Mapping("instruction_output", ("instruction", "output"), turns=(("user", "instruction", ()), ("assistant", "output", ()))),
 )
-BY_FINGERPRINT = {fingerprint(m.paths): m for m in MAPPINGS}
 KNOWN_PATHS = frozenset(p for m in MAPPINGS for p in m.paths)
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 def select_mapping(schema: T.StructType) -> Mapping:
-    """The mapping for a schema; fields that no layout knows don't count."""
-    known = [p for p in field_paths(schema) if p in KNOWN_PATHS]
-    try:
-        return BY_FINGERPRINT[fingerprint(known)]
-    except KeyError:
-        raise ValueError(f"no layout has exactly the fields {sorted(known)}") from None
+    """The first mapping whose paths a schema has; other fields don't count."""
+    paths = set(field_paths(schema))
+    found = next((m for m in MAPPINGS if fingerprint(paths & set(m.paths)) == fingerprint(m.paths)), None)
+    if found is None:
+        raise ValueError(f"no layout has only the fields {sorted(paths & KNOWN_PATHS)}")
+    return found
 
 
 def _role(c: Column) -> Column:
@@ -128,40 +131,54 @@ def canonical_turns(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     """Turns of a table whose schema fingerprint is known."""
     m = select_mapping(df.schema)
     if not m.messages and not m.turns:
-        return df.select(F.col(conv_id).alias("conv_id"), F.col(m.order).cast("long").alias("turn"), _role(F.col(m.role)).alias("role"), _text(F.col(m.text)).alias("text"))
+        return df.select(F.col(conv_id).alias("conv_id"), F.col(m.order).cast("long").alias("turn"), _text(F.col(m.role)).alias("role"), _text(F.col(m.text)).alias("text"))
     return df.select(F.col(conv_id).alias("conv_id"), F.posexplode(_record_turns(m, F.col)).alias("turn", "t")).select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.col("t.role").alias("role"), F.col("t.text").alias("text")
     )
 
 
-def canonical_turns_json(df: DataFrame, record: str = "record", conv_id: str = "conv_id") -> DataFrame:
-    """Turns of JSON records of mixed layouts, each fingerprinted by itself.
+_TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 
-    A record that isn't JSON, or whose fields fit no layout, gives no turns.
-    """
+
+def _json_turns(df: DataFrame, record: str, conv_id: str) -> DataFrame:
+    """``conv_id``, ``record`` and its turns; null where no mapping fits."""
     names = sorted({p.split("[")[0].split(".")[0] for p in KNOWN_PATHS})
-    parsed = F.from_json(F.col(record), T.MapType(T.StringType(), T.StringType()))
-    rows = df.select(F.col(conv_id).alias("conv_id"), parsed.alias("m")).filter("m is not null")
+    parsed = F.from_json(F.col(record).cast("string"), T.MapType(T.StringType(), T.StringType()))
+    rows = df.select(F.col(conv_id).alias("conv_id"), F.col(record).alias("record"), parsed.alias("m"))
     inner = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
     lists = sorted({m.messages for m in MAPPINGS if m.messages})
-    rows = rows.select("conv_id", "m", *[F.from_json(F.col("m")[x], inner).alias(f"l_{x}") for x in lists])
+    rows = rows.select("conv_id", "record", "m", *[F.from_json(F.col("m")[x], inner).alias(f"l_{x}") for x in lists])
 
     def below(x: str) -> Column:
         keys = F.flatten(F.transform(F.coalesce(F.col(f"l_{x}"), F.array().cast(inner)), lambda m: F.map_keys(m)))
         return F.transform(F.array_distinct(keys), lambda k: F.concat(F.lit(f"{x}[]."), k))
 
-    nested = [below(x) for x in lists]
     flat = F.filter(F.map_keys("m"), lambda k: k.isin([n for n in names if n not in lists]))
-    paths = F.filter(F.concat(flat, *nested), lambda p: p.isin(sorted(KNOWN_PATHS)))
-    rows = rows.withColumn("fp", F.sha2(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"), 256))
-    turns = F.lit(None).cast("array<struct<role:string,text:string>>")
-    for fp, m in BY_FINGERPRINT.items():
+    rows = rows.withColumn("paths", F.concat(flat, *[below(x) for x in lists]))
+    turns = F.lit(None).cast(_TURNS)
+    for m in reversed(MAPPINGS):
+        mine = F.array_sort(F.array_distinct(F.array_intersect("paths", F.array(*map(F.lit, m.paths)))))
         if m.messages or m.turns:
             made = _record_turns(m, (lambda f: F.col(f"l_{f}")) if m.messages else (lambda f: F.col("m")[f]))
-            turns = F.when(F.col("fp") == fp, made).otherwise(turns)
-    return rows.select("conv_id", F.posexplode(turns).alias("turn", "t")).select(
-        "conv_id", F.col("turn").cast("long").alias("turn"), F.col("t.role").alias("role"), F.col("t.text").alias("text")
-    )
+            made = F.transform(made, lambda t, i: F.struct(i.cast("bigint").alias("turn"), t["role"].alias("role"), t["text"].alias("text")))
+        else:
+            made = F.array(F.struct(F.col("m")[m.order].cast("bigint").alias("turn"), _text(F.col("m")[m.role]).alias("role"), _text(F.col("m")[m.text]).alias("text")))
+        turns = F.when(F.sha2(F.array_join(mine, "\n"), 256) == fingerprint(m.paths), made).otherwise(turns)
+    return rows.select("conv_id", "record", turns.alias("turns"))
+
+
+def canonical_turns_json(df: DataFrame, record: str = "record", conv_id: str = "conv_id") -> DataFrame:
+    """Turns of JSON records of mixed layouts, each fingerprinted by itself.
+
+    Records that aren't JSON or fit no layout are in ``unmapped_json``.
+    """
+    rows = _json_turns(df, record, conv_id)
+    return rows.select("conv_id", F.explode("turns").alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
+
+
+def unmapped_json(df: DataFrame, record: str = "record", conv_id: str = "conv_id") -> DataFrame:
+    """``conv_id`` and ``record`` of the records that give no turns for want of a mapping."""
+    return _json_turns(df, record, conv_id).filter("turns is null").select("conv_id", "record")
 
 
 # ------------------------------------------------------------------- template

@@ -40,19 +40,37 @@ def test_layouts(spark):
         turns(spark.createDataFrame([(1, "q")], "conv_id long, question string"))
 
 
+def test_columns_of_other_layouts_are_extra(spark):
+    rows = [(1, 0, "human", "q"), (1, 1, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = [tuple(r) for r in chat.canonical_turns(df).orderBy("turn").collect()]
+    assert want == rows
+    for p in sorted(chat.KNOWN_PATHS):
+        name, _, field = p.partition("[].")
+        if name not in df.columns:
+            extra = F.array(F.struct(F.lit("x").alias("role"), F.lit("x").alias(field))) if field else F.lit("x")
+            df = df.withColumn(name, extra)
+            assert [tuple(r) for r in chat.canonical_turns(df).orderBy("turn").collect()] == want
+    assert chat.select_mapping(df.drop("turn").schema).messages
+    assert chat.select_mapping(df.drop("turn", "messages", "conversations").schema).name == "system_prompt_response"
+
+
 def test_mixed_records(spark):
     records = [
         {"prompt": "q", "response": "a", "more": {"x": 1}},
         {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a", "weight": 1}]},
         {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]},
         {"instruction": "q", "output": "a"},
+        {"prompt": "q", "response": "a", "input": "unused", "completion": "unused"},
         {"unknown": 1},
+        {"role": "gpt", "text": "t", "turn": 3},
     ]
     df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(9, "not json"), (10, None)], "conv_id long, record string")
     got: dict = {}
     for r in chat.canonical_turns_json(df).orderBy("conv_id", "turn").collect():
         got.setdefault(r.conv_id, []).append((r.role, r.text))
-    assert got == {i: [("user", "q"), ("assistant", "a")] for i in range(4)}
+    assert got == {i: [("user", "q"), ("assistant", "a")] for i in range(5)} | {6: [("gpt", "t")]}
+    assert sorted(r.conv_id for r in chat.unmapped_json(df).collect()) == [5, 9, 10]
 
 
 def test_native_and_empty(spark):
