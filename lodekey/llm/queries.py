@@ -13,7 +13,8 @@ from lodekey.llm.staging import table
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = warc.captures(spark, table(spark, sf_dir, "pages"))
-    return got.select("page_id", F.col("payload_bytes").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    said = [F.col("request.fields")["request"].alias("request_line"), F.col("metadata.fields")["via"].alias("metadata_via"), F.col("metadata.fields")["fetchedBytes"].cast("long").alias("metadata_fetched_bytes")]
+    return got.select("page_id", F.col("payload_bytes").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "url", *said)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,11 +91,13 @@ _SHA1_BASE32 = f"""array_to_string(list_transform(range(32), lambda i: substr('{
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": f"""
-        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex,
+            coalesce(replace(replace(url, chr(13), '%0D'), chr(10), '%0A'), 'about:blank') AS url FROM pages),
         o AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS owner FROM p)
         SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_SHA1_BASE32} AS payload_digest,
             CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
-            CASE WHEN page_id <> owner THEN owner END AS refers_to
+            CASE WHEN page_id <> owner THEN owner END AS refers_to,
+            url, 'GET ' || url || ' HTTP/1.1' AS request_line, url AS metadata_via, strlen(html)::BIGINT AS metadata_fetched_bytes
         FROM o""",
     "op5_chat_format": f"""
         WITH t AS (

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from lodekey.llm import files, staging
 
 MIN_BYTES = 0
+MOST_READERS = 50_000  # tasks that read archives; each reads one or more
 _DATE = "2024-01-01T00:00:00Z"  # captures carry no time of their own
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122, URL
@@ -212,7 +213,7 @@ def read_warcs(spark: SparkSession, folder: str, archives: DataFrame, payloads:
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture.
+    """One nested row per capture: its response or revisit, request and metadata.
 
     Every record is sent to the identifier of its capture, its own or the one
     it is concurrent to; a capture has few records, so one aggregation joins
@@ -252,5 +253,6 @@ def captures(spark: SparkSession, pages: DataFrame, payloads: bool = False) -> D
     folder = staging.new_path(spark, "warc")
     files.make_folder(folder)
     archives = staging.stage(write_warcs(pages, folder), "warc-archives")
-    records = staging.stage(read_warcs(spark, folder, archives.repartition("archive"), payloads), "warc-records")
+    dealt = archives.repartition(max(1, min(archives.count(), MOST_READERS)))  # a count, or Spark makes one task of so few rows
+    records = staging.stage(read_warcs(spark, folder, dealt, payloads), "warc-records")
     return resolve_revisits(assemble(records))

@@ -54,6 +54,23 @@ def test_repeated_rows_stay(spark, tmp_path):
         assert len({x for r in got for x in (r.capture_id, r.request.record_id, r.metadata.record_id)}) == 3 * len(rows)
 
 
+def test_query_on_repeated_rows(spark, tmp_path):
+    import duckdb
+
+    from lodekey.llm.queries import ORACLE_SQL, QUERIES
+
+    rows = [(1, "http://u/a", "x"), (2, "http://u/\n", "x"), (3, None, None), (4, "http://v", ""), (5, "http://v", "é")]
+    table(spark, rows).select("page_id", "url", "html").write.parquet(str(tmp_path / "pages.parquet"))
+    got = QUERIES["op1_warc"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "request" in plan
+    assert "metadata" in plan
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    picked = ", ".join(f'"{x}"' for x in got.columns)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, c.sql(f"SELECT {picked} FROM ({ORACLE_SQL['op1_warc']})").fetchall()))
+
+
 def test_small_payloads_can_stay_responses(spark):
     planned = warc.plan_records(table(spark, [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")]), min_bytes=3)
     assert {r.page_id: r.o_page if r.o_key else None for r in planned.collect()} == {1: None, 2: None, 3: 4, 4: None}
