@@ -1,20 +1,22 @@
 """K-d tree partitioning of a table into shards of near equal bytes.
 
-A node that is to give ``m`` shards is cut in two, for ``m // 2`` and the
-rest, where the bytes below the cut come nearest to that share.  It is cut
-along its widest dimension: the one whose values spread furthest in relation
-to the whole table's.  Cuts of all nodes of a level are found together by
+Splitting ends when leaves have the target's bytes: a number of shards sets
+the target, or a target the number of shards.  A node of ``m`` times the
+target is cut in two, for ``m // 2`` and the rest, where the bytes below the
+cut come nearest to that share.  It is cut along its widest dimension (bytes,
+characters, language, source): the one whose values spread furthest in
+relation to the whole table's.  Languages and sources lie on a line in the
+order of their bytes.  Cuts of all nodes of a level are found together by
 counting bytes in finer and finer bins of the node's values, each round one
 aggregation that returns at most ``BINS`` rows a node, until a bin holds one
 value or few rows.  Rows of one value are cut further by the next key, a
-hash of the row, and then by ``doc_id``; so even a value that a third of all
-rows share can be cut anywhere.  The tree is small, and rows are routed
-through it by expressions.
+hash of the row, then by ``doc_id`` and last by the row's number; so even
+rows that are equal in all can be cut anywhere.  The tree is small, and rows
+are routed through it by expressions.
 
 Defined results: null text has no bytes and still a row's overhead; null
-metadata is a value of its own; repeated rows that agree in every key can't
-be told apart, so they stay in one shard; extra columns are ignored; an
-empty table gives no rows.
+metadata is a value of its own, below all others; repeated rows are dealt like
+any others; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,9 +32,10 @@ from lodekey.llm.packing import number_within
 SHARDS = 24
 OVERHEAD = 8
 BINS = 1024
-FEW = 2000  # rows in question that are fetched and not counted in bins
-DIMENSIONS = ("n_bytes", "lang_code", "source_code", "text_code")
-TIES = ("tie", "id_key")
+FEW = 4000  # rows in question that are fetched and not counted in bins
+DIMENSIONS = ("n_bytes", "n_letters", "lang_code", "source_code")
+TIES = ("tie", "id_key", "row")
+_ABOVE = (1 << 63) - 1
 
 
 @dataclass
@@ -47,8 +50,8 @@ class Node:
 
 
 def _code(c: Column) -> Column:
-    """A place on a line for a word: its first bytes as a number."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(c.cast("string"), F.lit("")), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("long") + F.when(c.isNull(), -1).otherwise(0)
+    """A place on a line for a word: its first seven bytes as a number."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(c.cast("string"), F.lit("")), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long") + F.when(c.isNull(), -1).otherwise(0)
 
 
 def metadata(docs: DataFrame) -> DataFrame:
@@ -57,6 +60,7 @@ def metadata(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.octet_length(text).cast("long").alias("n_bytes"),
         F.crc32(text).alias("text_crc32"),
+        F.coalesce(F.char_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_letters"),
         F.col("lang"),
         F.col("source"),
     )
@@ -65,11 +69,12 @@ def metadata(docs: DataFrame) -> DataFrame:
         "n_bytes",
         "text_crc32",
         (F.col("n_bytes") + OVERHEAD).alias("size"),
+        "n_letters",
         _code(F.col("lang")).alias("lang_code"),
-        F.shiftright(F.xxhash64(F.coalesce("source", F.lit(""))), 16).alias("source_code"),
-        F.col("text_crc32").alias("text_code"),
+        _code(F.col("source")).alias("source_code"),
         F.shiftright(F.xxhash64("doc_id", "text_crc32"), 4).alias("tie"),
         F.coalesce("doc_id", F.lit(-(2**60))).alias("id_key"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
@@ -94,10 +99,10 @@ def _step(rows: DataFrame, cut: list[Node]) -> DataFrame:
     return rows.withColumn("node", F.col("node") + F.when(right, half).otherwise(0))
 
 
-def _find_cuts(rows: DataFrame, nodes: list[Node], targets: dict[int, float], extents: dict[str, tuple[int, int]]) -> None:
+def _find_cuts(rows: DataFrame, nodes: list[Node], targets: dict[int, float], extents: dict[str, tuple[int, int]], counts: dict[int, int]) -> None:
     """Sets ``cut`` of all nodes, in rounds that they go through together."""
     dims = {n.first: n.dim for n in nodes}
-    state = {f: {"key": 0, "lo": [extents[k][0] for k in (d, *TIES)], "hi": [extents[k][1] for k in (d, *TIES)], "before": 0, "few": False} for f, d in dims.items()}
+    state = {f: {"key": 0, "lo": [extents[k][0] for k in (d, *TIES)], "hi": [extents[k][1] for k in (d, *TIES)], "before": 0, "few": counts[f] <= FEW} for f, d in dims.items()}
     cuts: dict[int, tuple[int, ...]] = {}
     while state:
         lo = _lookup({f: _bounds(s["lo"]) for f, s in state.items()}, F.col("node"))
@@ -109,15 +114,18 @@ def _find_cuts(rows: DataFrame, nodes: list[Node], targets: dict[int, float], ex
             for r in asked.filter(F.col("node").isin(few)).collect():  # at most FEW rows a node
                 found[r["node"]].append((tuple(r["k"]), r["size"]))
             for f in few:
-                running, rest = state.pop(f)["before"], sorted(found[f])
-                for i, (k, w) in enumerate(rest):
+                s = state.pop(f)
+                running, rest, k = s["before"], sorted(found[f]), s["key"]
+                cuts[f] = rest[-1][0]
+                # below all rows in question, above those before
+                last = (*s["lo"][:k], s["lo"][k] - 1, *[_ABOVE] * (len(TIES) - k))
+                for key, w in rest:
                     running += w
                     if running >= targets[f]:
-                        # the cut that is nearer, before or after this row, if the row before differs
-                        cuts[f] = rest[i - 1][0] if i and rest[i - 1][0] != k and targets[f] - (running - w) < running - targets[f] else k
+                        nearer = running > w and targets[f] - (running - w) < running - targets[f]
+                        cuts[f] = last if nearer else key
                         break
-                else:
-                    cuts[f] = rest[-1][0]
+                    last = key
         if not state:
             break
         asked = asked.filter(F.col("node").isin(list(state)))
@@ -150,17 +158,20 @@ def _find_cuts(rows: DataFrame, nodes: list[Node], targets: dict[int, float], ex
         n.cut = cuts[n.first]
 
 
-def cut_table(meta: DataFrame, shards: int = SHARDS) -> tuple[Node, DataFrame]:
+def cut_table(meta: DataFrame, shards: int = SHARDS, target_bytes: int | None = None) -> tuple[Node, DataFrame]:
     """The tree, and the rows of ``meta`` with their leaf as ``node``.
 
-    After each level the rows are written with their new node, so that the
-    rounds of the next level read columns only.
+    Rows are written once; after that each level adds an expression that
+    moves them to their new node, and rounds read the columns they need.
     """
-    root = Node(0, shards)
-    rows = staging.stage(meta.withColumn("node", F.lit(root.first)), "shard-rows")
+    rows = staging.stage(meta, "shard-rows")
     names = (*DIMENSIONS, *TIES)
-    r = rows.agg(*[F.min(d).alias(f"lo_{d}") for d in names], *[F.max(d).alias(f"hi_{d}") for d in names]).first()
+    r = rows.agg(F.sum("size").alias("size"), *[F.min(d).alias(f"lo_{d}") for d in names], *[F.max(d).alias(f"hi_{d}") for d in names]).first()
+    if target_bytes is not None:
+        shards = max(1, -(-(r["size"] or 0) // target_bytes))
     extents = {d: (r[f"lo_{d}"] or 0, r[f"hi_{d}"] or 0) for d in names}
+    root = Node(0, shards)
+    rows = rows.withColumn("node", F.lit(root.first))
     level = [root] if shards > 1 else []
     while level:
         aggs = [F.sum("size").alias("w"), F.count("*").alias("n")]
@@ -174,18 +185,18 @@ def cut_table(meta: DataFrame, shards: int = SHARDS) -> tuple[Node, DataFrame]:
             r = stats[n.first]
             n.dim = max(DIMENSIONS, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"]) / max(1, extents[d][1] - extents[d][0]))
             targets[n.first] = r["w"] * (n.shards // 2) / n.shards
-        _find_cuts(rows, live, targets, extents)
+        _find_cuts(rows, live, targets, extents, {f: r["n"] for f, r in stats.items()})
         level = []
         for n in live:
             half = n.shards // 2
             n.children = [Node(n.first, half), Node(n.first + half, n.shards - half)]
             level += [c for c in n.children if c.shards > 1]
-        rows = staging.stage(_step(rows, live), "shard-rows")
+        rows = _step(rows, live)
     return root, rows
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None) -> DataFrame:
     """Every row with its shard and a place in it."""
-    _, rows = cut_table(metadata(docs), shards)
-    placed = rows.select("doc_id", "size", "text_crc32", "tie", F.col("node").cast("int").alias("shard"))
-    return number_within(placed, "shard", ["doc_id", "tie", "text_crc32", "size"], "slot").drop("tie")
+    _, rows = cut_table(metadata(docs), shards, target_bytes)
+    placed = rows.select("doc_id", "size", "text_crc32", "row", F.col("node").cast("int").alias("shard"))
+    return number_within(placed, "shard", ["doc_id", "row"], "slot").drop("row")

@@ -3,6 +3,7 @@ import zlib
 
 import pytest
 from helpers import ODD, documents
+from pyspark.sql import functions as F
 
 from lodekey.llm import sharding
 
@@ -42,6 +43,51 @@ def test_repeated_rows_null_columns_and_empty_tables(spark):
     assert sharding.shard_documents(documents(spark, [])).collect() == []
 
 
+def test_equal_rows_are_dealt_evenly(spark):
+    counts = {}
+    for x in sharding.shard_documents(documents(spark, ["same"] * 480, ids=[3] * 480)).collect():
+        counts[x.shard] = counts.get(x.shard, 0) + 1
+    assert counts == {s: 20 for s in range(24)}
+
+
+def plain_tree(rows, extents, first, shards):
+    """Shards of rows (keys, size) by a k-d tree, all in one place."""
+    if shards == 1 or len(rows) < 2:
+        return {r[0]["row"]: first for r in rows}
+    spread = lambda d: (max(r[0][d] for r in rows) - min(r[0][d] for r in rows)) / max(1, extents[d])
+    dim = max(sharding.DIMENSIONS, key=spread)
+    key = lambda r: (r[0][dim], *(r[0][t] for t in sharding.TIES))
+    ordered, half = sorted(rows, key=key), shards // 2
+    target, running = sum(r[1] for r in rows) * half / shards, 0
+    for i, r in enumerate(ordered):  # the cut comes behind row i, or before it where that is nearer
+        running += r[1]
+        if running >= target:
+            cut = i - 1 if i and target - (running - r[1]) < running - target else i
+            break
+    left, right = ordered[: cut + 1], ordered[cut + 1 :]
+    return plain_tree(left, extents, first, half) | plain_tree(right, extents, first + half, shards - half)
+
+
+@pytest.mark.parametrize(("few", "bins"), [(4000, 1024), (3, 4), (1, 16)])
+def test_against_a_plain_tree(spark, monkeypatch, few, bins):
+    monkeypatch.setattr(sharding, "FEW", few)
+    monkeypatch.setattr(sharding, "BINS", bins)
+    r = random.Random(7)
+    texts = [r.choice(["é", "x"]) * r.choice([3, 3, r.randint(0, 90)]) for _ in range(250)]
+    docs = documents(spark, texts)
+    docs = docs.withColumns({"lang": F.element_at(F.array(*[F.lit(x) for x in ("de", "en", "en", "fr")]), (F.col("doc_id") % 4 + 1).cast("int")), "source": F.concat(F.lit("s"), F.col("doc_id") % 7)})
+    meta = sharding.staging.stage(sharding.metadata(docs), "meta")
+    rows = [({k: x[k] for k in (*sharding.DIMENSIONS, *sharding.TIES)}, x["size"]) for x in meta.collect()]
+    extents = {d: max(k[d] for k, _ in rows) - min(k[d] for k, _ in rows) for d in sharding.DIMENSIONS}
+    _, got = sharding.cut_table(meta, 5)
+    assert {x.row: x.node for x in got.collect()} == plain_tree(rows, extents, 0, 5)
+
+
+def test_target_bytes(spark):
+    rows = sharding.shard_documents(documents(spark, ["x" * 92] * 100), target_bytes=1000).collect()
+    assert sorted({x.shard for x in rows}) == list(range(10))
+
+
 def test_few_shards(spark):
     d = documents(spark, [f"{i}" for i in range(90)])
     counts = {}
