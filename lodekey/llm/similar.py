@@ -1,17 +1,11 @@
-"""Near duplicates by exact similarity of word shingles.
-
-Texts are compared as sets of hashes of ``WIDTH`` words.  Equal sets are one
-class.  Of each class ``BANDS`` keys are made, each from ``ROWS`` least
-hashes; two classes of similarity s share a key with a chance of
-1 - (1 - s^ROWS)^BANDS, which is 0.9996 at 0.8.  Under a key of up to
-``SMALL`` classes all are compared with each other; under a larger one each
-with two of them, which differ from key to key, so their number doesn't grow
-with the square of a group.  Each such pair is then compared by its whole
-sets, read from archives by place, and linked from ``LEAST`` on.
-
-Defined results: null and blank texts are one class; texts of fewer words
-than a shingle are one shingle; repeated rows are in one class; extra columns
-stay; an empty table gives no rows.
+"""Exact similarity of texts, as sets of hashes of their word shingles.
+
+Texts that some pair asks for are packed into archives once and read again by
+place, so a text is never sent with its pairs.
+
+Defined results: null and blank texts have no shingle and are similar to each
+other only; texts of fewer words than a shingle are one shingle; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,26 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodekey.llm import files, staging
-from lodekey.llm.components import components
-from lodekey.llm.simhash import shingle_hashes
+from lodekey.llm.shingles import shingle_hashes
 
-WIDTH = 5
-LEAST = 0.8
-BANDS = 20
-ROWS = 5
-SMALL = 20
-_TIMES, _PLUS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
-_TIMES |= np.uint64(1)
-_SIZE_BITS = 28  # of a place: where a packed text begins and its size
+KEPT_BYTES = 8 << 20  # of sets that a task keeps while it compares
 
 
-def shingles(text: str | None) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text or "", WIDTH), np.uint64))
+def shingles(text: str | None, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text or "", width))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -50,43 +35,6 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    if not len(s):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(s), 1024):
-        least = np.minimum(least, (s[i : i + 1024, None] * _TIMES + _PLUS).min(0))
-    keys = [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64)
-
-
-def signatures(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_set``, a digest of the shingles, and ``_keys``."""
-    names = docs.columns
-    at = names.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t) for t in b.column(at).to_pylist()]
-            digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, digests, keys], names=[*names, "_set", "_keys"])
-
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{types}, _set binary, _keys array<long>")
-
-
-def _pairs(keys: DataFrame) -> DataFrame:
-    """Pairs u < v of nodes to compare."""
-    order = F.struct(F.xxhash64("node", "key").alias("h"), "node")
-    counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("a"), F.max(order).alias("b")).filter("n > 1")
-    placed = keys.join(counts.select("key", "n", F.col("a.node").alias("a"), F.col("b.node").alias("b")), "key")
-    led = placed.filter(F.col("n") > SMALL).select("node", F.explode(F.array("a", "b")).alias("other"))
-    lists = placed.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("node").alias("nodes"))
-    each = lists.select("nodes", F.explode("nodes").alias("node")).select("node", F.explode("nodes").alias("other"))
-    return led.unionByName(each).filter("node <> other").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
-
-
 def _archive(folder: str, task: int) -> str:
     return f"{folder}/part-{task:06d}.texts"
 
@@ -101,63 +49,63 @@ def _places(texts: DataFrame, folder: str) -> DataFrame:
         task, at, pack = TaskContext.get().taskAttemptId(), 0, zstandard.ZstdCompressor(level=1)
         with files.replacing(_archive(folder, task)) as out:
             for b in batches:
-                locs = []
-                for t in b.column(1).to_pylist():
-                    out.write(z := pack.compress((t or "").encode()))
-                    locs.append(at << _SIZE_BITS | len(z))
+                place = []
+                for t in b.column(1):
+                    out.write(z := pack.compress((t.as_py() or "").encode()))
+                    place.append((at, len(z)))
                     at += len(z)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([task] * b.num_rows, pa.int64()), pa.array(locs, pa.int64())], names=["node", "task", "loc"])
+                start, size = zip(*place, strict=True) if place else ((), ())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([task] * b.num_rows, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64())], names=["node", "task", "at", "size"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, task long, loc long")
+    return texts.select("node", "text").mapInArrow(run, "node long, task long, at long, size long")
 
 
-def _similar(pairs: DataFrame, places: DataFrame, folder: str, least: float) -> DataFrame:
-    """Those of ``pairs`` whose whole sets are similar enough."""
+class _Sets:
+    """Sets of texts by place, the last used ones kept."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, folder: str, width: int, stack: contextlib.ExitStack):
         import zstandard
 
-        unpack, kept, opened = zstandard.ZstdDecompressor(), OrderedDict(), {}
-        with contextlib.ExitStack() as stack:
-
-            def read(task: int, loc: int) -> np.ndarray:
-                if (task, loc) in kept:
-                    kept.move_to_end((task, loc))
-                    return kept[task, loc]
-                if task not in opened:
-                    if len(opened) > 50:
-                        stack.close()
-                        opened.clear()
-                    opened[task] = stack.enter_context(files.reading(_archive(folder, task)))
-                opened[task].seek(loc >> _SIZE_BITS)
-                text = unpack.decompress(opened[task].read(loc & (1 << _SIZE_BITS) - 1)) if loc & (1 << _SIZE_BITS) - 1 else b""
-                kept[task, loc] = shingles(text.decode())
-                if len(kept) > 200:
-                    kept.popitem(last=False)
-                return kept[task, loc]
+        self.folder, self.width, self.stack, self.unpack = folder, width, stack, zstandard.ZstdDecompressor()
+        self.kept: OrderedDict = OrderedDict()
+        self.opened: dict = {}
+        self.bytes = 0
+
+    def __call__(self, task: int, at: int, size: int) -> np.ndarray:
+        if (task, at) in self.kept:
+            self.kept.move_to_end((task, at))
+            return self.kept[task, at]
+        if task not in self.opened:
+            if len(self.opened) > 50:
+                self.stack.close()
+                self.opened.clear()
+            self.opened[task] = self.stack.enter_context(files.reading(_archive(self.folder, task)))
+        self.opened[task].seek(at)
+        made = shingles(self.unpack.decompress(self.opened[task].read(size)).decode(), self.width)
+        self.kept[task, at] = made
+        self.bytes += made.nbytes
+        while self.bytes > KEPT_BYTES and len(self.kept) > 2:
+            self.bytes -= self.kept.popitem(last=False)[1].nbytes
+        return made
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
+    """Those of ``pairs`` (``u``, ``v``) whose sets are similar enough; ``texts`` has ``node`` and ``text``."""
+    spark = pairs.sparkSession
+    folder = staging.new_path(spark, "similar-texts")
+    files.make_folder(folder)
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    places = staging.stage(_places(texts.join(asked, "node", "left_semi"), folder), "places")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with contextlib.ExitStack() as stack:
+            read = _Sets(folder, width, stack)
             for b in batches:
-                same = [similarity(read(r["ut"], r["ul"]), read(r["vt"], r["vl"])) >= least for r in b.select(["ut", "ul", "vt", "vl"]).to_pylist()]
+                columns = [b.column(i).to_pylist() for i in range(2, 8)]
+                same = [similarity(read(*r[:3]), read(*r[3:])) >= least for r in zip(*columns, strict=True)]
                 yield b.select(["u", "v"]).filter(pa.array(same, pa.bool_()))
 
-    at = lambda x: places.select(F.col("node").alias(x), F.col("task").alias(f"{x}t"), F.col("loc").alias(f"{x}l"))
-    asked = pairs.join(at("u"), "u").join(at("v"), "v").repartition("u", "v").sortWithinPartitions("ut", "ul", "vt", "vl")
-    return asked.select("u", "v", "ut", "ul", "vt", "vl").mapInArrow(run, "u long, v long")
-
-
-def one_per_component(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """One row of each component, unchanged: that of the smallest ``doc_id``."""
-    spark = docs.sparkSession
-    staging.ship(spark)
-    got = staging.stage(signatures(docs).withColumn("_row", F.monotonically_increasing_id()), "signatures")
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
-    classes = staging.stage(got.groupBy("_set").agg(F.min(key).alias("k")).select("k", F.col("k._row").alias("node")), "classes")
-    chosen = got.join(classes.select(F.col("node").alias("_row")), "_row", "left_semi")
-    pairs = staging.stage(_pairs(chosen.select(F.col("_row").alias("node"), F.explode("_keys").alias("key"))), "pairs")
-    folder = staging.new_path(spark, "similar-texts")
-    files.make_folder(folder)
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("_row")).distinct()
-    places = staging.stage(_places(got.select("_row", "text").join(asked, "_row", "left_semi").select(F.col("_row").alias("node"), "text"), folder), "places")
-    labels = components(_similar(pairs, places, folder, least))
-    first = classes.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("k").alias("k"))
-    return got.join(first.select(F.col("k._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    at = lambda x: places.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("task", "at", "size")])
+    where = [f"{x}_{c}" for x in "uv" for c in ("task", "at", "size")]
+    dealt = pairs.join(at("u"), "u").join(at("v"), "v").repartition("u", "v").sortWithinPartitions(*where)
+    return dealt.select("u", "v", *where).mapInArrow(run, "u long, v long")

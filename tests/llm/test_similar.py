@@ -2,7 +2,7 @@ import random
 
 from helpers import ODD, documents
 
-from lodekey.llm import similar
+from lodekey.llm import simhash
 
 
 def plain(text):
@@ -40,7 +40,7 @@ def test_pipeline_stage_drops_all_of_similarity_four_fifths(spark):
             for k in range(edits):
                 other[15 + 20 * k] = word()
             texts.append(" ".join(other))
-        if i == 0:  # a group of over SMALL near copies
+        if i == 0:  # a larger group of near copies
             for k in range(40):
                 texts.append(" ".join([*base[:k], word(), *base[k + 1 :]]))
     docs = documents(spark, texts).select(*cp.COLUMNS)
@@ -51,5 +51,5 @@ def test_pipeline_stage_drops_all_of_similarity_four_fifths(spark):
 
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     d = documents(spark, ["a b c d", "a b c d", "A b c  d", "other text here now"], ids=[5, 5, None, None]).select("doc_id", "text")
-    assert sorted(((x.doc_id, x.text) for x in similar.one_per_component(d).collect()), key=str) == [(5, "a b c d"), (None, "other text here now")]
-    assert similar.one_per_component(documents(spark, [])).collect() == []
+    assert sorted(((x.doc_id, x.text) for x in simhash.one_per_component(d).collect()), key=str) == [(5, "a b c d"), (None, "other text here now")]
+    assert simhash.one_per_component(documents(spark, [])).collect() == []
