@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,7 +47,7 @@ def successor(prefix: bytes) -> bytes | None:
 
 
 def shortest_separator(low: bytes, high: bytes) -> bytes:
-    """The shortest r with low < r <= high."""
+    """Of the keys above ``low`` and not above ``high`` the one of fewest bytes that begins ``high``."""
     if not low < high:
         raise KeyError_("the lower key must be below the higher")
     same = next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), len(low))
@@ -71,6 +70,10 @@ def show_key(key: bytes) -> str:
     return "~absent" if got is None else got if isinstance(got, str) else "b64:" + base64.b64encode(got).decode()
 
 
+def show_pair(hk: bytes, sk: bytes) -> str:
+    return f"{show_key(hk)} / {show_key(sk)}"
+
+
 # ---------------------------------------------------------------------- columns
 
 
@@ -117,27 +120,16 @@ def separator_column(low: Column, high: Column) -> Column:
     return F.substr(high, F.lit(1), common_prefix(low, high) + 1)
 
 
-# ------------------------------------------------------------------ partition names
-
-_SAFE = re.compile(rb"[^%.\"\\~\x00-\x1f\x7e-\xff]")
-
-
-def name_part(key: bytes | None, bound: str = "") -> str:
-    """A key inside a partition's name; ``bound`` stands for an open end."""
-    if not key:
-        return bound
-    return "".join(chr(b) if _SAFE.match(bytes([b])) else f"%{b:02X}" for b in key)
-
-
-def parse_name_part(part: str) -> bytes | None:
-    if part in ("", "~min", "~max"):
-        return None
-    return re.sub(rb"%([0-9A-F]{2})", lambda m: bytes([int(m[1], 16)]), part.encode("latin-1"))
+def show_column(key: Column) -> Column:
+    """``show_key`` of a column; null stays null."""
+    text = F.when(F.octet_length(key) == 0, F.lit("~absent")).when(is_binary(key), F.concat(F.lit("b64:"), F.base64(decode_binary(key))))
+    return F.when(key.isNotNull(), F.coalesce(text, F.decode(key, "UTF-8")))
 
 
-def hash_partition_name(table: str, path: list[int]) -> str:
-    return ".".join([table, "h", *map(str, path)])
+def show_pair_column(hk: Column, sk: Column) -> Column:
+    return F.concat(show_column(hk), F.lit(" / "), show_column(sk))
 
 
-def range_partition_name(table: str, hk: bytes, start: bytes | None, end: bytes | None) -> str:
-    return ".".join([table, "r", name_part(hk), name_part(start, "~min"), name_part(end, "~max")])
+def key_problem(key: Column, most: int) -> Column:
+    """Why the public interface refuses a text as a key; null if it takes it."""
+    return F.when(key.isNull() | (F.char_length(key) == 0), "empty").when(F.contains(key, F.lit("\0")), "holds_nul").when(F.octet_length(F.encode(key, "UTF-8")) > most, "too_long")

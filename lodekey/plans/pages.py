@@ -25,8 +25,10 @@ class PageBudget:
     bytes: int = DEFAULT_PAGE_BYTES
     visits: int = MAX_PAGE_VISITS
 
-    def __post_init__(self) -> None:
-        self.bytes = min(self.bytes, MAX_PAGE_BYTES)
+    @classmethod
+    def of(cls, items: int | None, max_bytes: int | None, visits: int = MAX_PAGE_VISITS) -> PageBudget:
+        """As asked for, within the limits of the public interface."""
+        return cls(items, min(DEFAULT_PAGE_BYTES if max_bytes is None else max_bytes, MAX_PAGE_BYTES), visits)
 
     def spend(self, items: int = 0, bytes: int = 0, visits: int = 0) -> None:
         if self.items is not None:
@@ -47,22 +49,23 @@ def fingerprint(parts: list[tuple[bytes, Interval | None, bool]]) -> str:
 
 @dataclass(frozen=True)
 class Cursor:
-    """The sub-query to go on with, behind ``after`` or from its begin."""
+    """The sub-query to go on with, behind ``after`` (or with it) or from its begin."""
 
     index: int
     forward: bool
     fingerprint: str
     after: bytes | None = None
+    included: bool = False
 
     def encode(self) -> str:
-        body = {"v": VERSION, "i": self.index, "f": self.forward, "p": self.fingerprint, "a": None if self.after is None else self.after.hex()}
+        body = {"v": VERSION, "i": self.index, "f": self.forward, "p": self.fingerprint, "a": None if self.after is None else self.after.hex(), "n": self.included}
         return base64.urlsafe_b64encode(json.dumps(body).encode()).decode().rstrip("=")
 
     @classmethod
     def decode(cls, text: str) -> Cursor:
         try:
             body = json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)))
-            got = cls(int(body["i"]), bool(body["f"]), str(body["p"]), None if body["a"] is None else bytes.fromhex(body["a"]))
+            got = cls(int(body["i"]), bool(body["f"]), str(body["p"]), None if body["a"] is None else bytes.fromhex(body["a"]), bool(body["n"]))
             version = body["v"]
         except (ValueError, KeyError, TypeError):
             raise CursorError("malformed cursor") from None

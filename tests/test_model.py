@@ -5,6 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from lodekey.functions import keys
+from lodekey.functions import partition_ids as ids
 from lodekey.functions.bloom import ADDED, FULL, PRESENT, LayeredBloom
 from lodekey.functions.sizes import decode_data, encode_data
 from lodekey.plans import conditions, intervals
@@ -89,10 +90,21 @@ def test_separator(a, b):
     assert not any(low < high[:n] <= high for n in range(len(r)))
 
 
-@given(st.binary(min_size=1))
-def test_names_come_back(key):
-    assert keys.parse_name_part(keys.name_part(key)) == key
-    assert "." not in keys.name_part(key)
+@given(st.binary(min_size=1), st.none() | st.binary(max_size=4), st.none() | st.binary(max_size=4), st.lists(st.integers(0, 255), max_size=5))
+def test_partition_ids_come_back(hk, start, end, path):
+    for p in (ids.RangePartition(hk, start, end), ids.HashPartition(300, tuple(path))):
+        assert ids.unpack(p.pack()) == p
+        assert not set(p.name("t")) & set(' "\\')
+    assert ids.HashPartition(7, tuple(path)).children(3)[2] == ids.HashPartition(7, (*path, 2))
+
+
+def test_names():
+    assert ids.name_part(b"a b.c%~\xff") == "a%20b%2Ec%25%7E%FF"
+    assert ids.RangePartition(b"k").name("t") == "t.r.k.~min.~max"
+    assert ids.HashPartition(258, (1, 2)).pack() == bytes([0, 1, 2, 2, 1, 2])
+    for bad in (b"", b"\x02abc", b"\x00\x00\x00\x05"):
+        with pytest.raises(ValueError):
+            ids.unpack(bad)
 
 
 def test_slices():

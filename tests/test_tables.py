@@ -60,6 +60,41 @@ def test_pages(spark):
         query_items(t, both, limit=0)
 
 
+def test_visits_end_pages(spark):
+    t = items(spark, [("h", f"k{i}", "x") for i in range(10)] + [("g", "z", "x")]).cache()
+    cuts = ["", "k2", "k4", "k6", "k8", ""]
+    leaves = spark.createDataFrame([(b"h", cuts[i].encode(), cuts[i + 1].encode()) for i in range(5)], "hk binary, start binary, end binary")
+    want = [f"k{i}" for i in range(10)]
+    for forward in (True, False):
+        for visits in (1, 2, 3):
+            parts = [SubQuery("h", Condition("gte", "k3"), forward), SubQuery("none"), SubQuery("g")]
+            inner = [k for k in (want if forward else want[::-1]) if k >= "k3"]
+            got, pages = walk(t, parts, leaves=leaves, max_visits=visits)
+            assert got == [*inner, "z"]
+            assert pages >= 6 // visits
+            got, _ = walk(t, parts, leaves=leaves, max_visits=visits, limit=3)
+            assert got == [*inner, "z"]
+    page = query_items(t, [SubQuery("h")], leaves=leaves, max_visits=2)
+    assert page.metrics() == {"rows_read": 4, "rows_returned": 4, "sub_queries": 1, "partitions_visited": 2}
+
+
+def test_budget_that_ends_on_a_last_row(spark):
+    t = items(spark, [("alice", "a1", "x")]).cache()
+    page = query_items(t, [SubQuery("alice"), SubQuery("bob")], max_bytes=72 + 2 + 2 + 5)
+    assert shown(page) == ["a1"]
+    c = page.next_cursor()
+    assert (c.index, c.after) == (1, None)
+    assert query_items(t, [SubQuery("alice"), SubQuery("bob")], max_bytes=80, cursor=c.encode()).next_cursor() is None
+
+
+def test_pages_keep_few_rows_of_a_key(spark):
+    t = items(spark, [("alice", f"a{i:03}", "x") for i in range(300)]).cache()
+    page = query_items(t, [SubQuery("alice", forward=False)], limit=5)
+    assert "WindowGroupLimit" in page.rows._jdf.queryExecution().executedPlan().toString()
+    assert page.scanned.count() == 6
+    assert shown(page) == [f"a{i:03}" for i in range(299, 294, -1)]
+
+
 def test_scans_push_key_bounds(spark, tmp_path):
     t = Table(spark, str(tmp_path), TableConfig("plans"))
     t.publish(items(spark, [("a", f"k{i:03}", "x") for i in range(50)]))
