@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodekey.functions import bloom, hashing, keys, sizes
+from lodekey.functions import bloom, keys, sizes
 from lodekey.operators import oplog, points, stats, topology, transactions
 from lodekey.operators.query import REQUEST, SubQuery, query_items, range_query, top_per_key, visited_leaves
 from lodekey.plans import conditions
@@ -372,7 +372,7 @@ def h_root_route(spark, sf_dir):
 def _routed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders over ten roots of which even ones have split in four, and of their children the first again."""
     names = [f"h.{r}" for r in range(0, 10, 2)] + [f"h.{r}.0" for r in range(0, 10, 2)]
-    return topology.route_hash(fixtures.orders(spark, sf_dir), 10, 4, spark.createDataFrame([(n,) for n in names], "name string"), depth=2)
+    return topology.route_hash(fixtures.orders(spark, sf_dir), 10, 4, spark.createDataFrame([(n,) for n in names], "name string"))
 
 
 ROUTED = f"""{ORD}, b AS (SELECT *, {_bucket_sql(0, 10)} AS r, {_bucket_sql(1, 4)} AS c1, {_bucket_sql(2, 4)} AS c2, strlen(data) + strlen(hk) + strlen(sk) + 100 AS est FROM ord),
@@ -464,6 +464,7 @@ def _tx_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(op == "put", F.lit(1)).alias("data_kind"),
         F.when(op == "put", F.col("o_orderpriority")).alias("data_text"),
         F.when(op == "check", _condition("attribute_equals", 1)).alias("conditions"),
+        F.lit(None).cast("binary").alias("data_bin"),
     )
 
 
@@ -472,7 +473,7 @@ def _tx_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = fixtures.table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
     holder = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("tx"), "o_orderkey")).otherwise("tx-other")
     created = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
-    return o.select(fixtures.key("ord#", F.col("o_orderkey").cast("string")).alias("hk"), F.encode(F.lit("0001"), "UTF-8").alias("sk"), holder.alias("transaction_id"), created.alias("transaction_ts"), created.alias("created_at"), F.lit("put").alias("operation"))
+    return o.select(fixtures.key("ord#", F.col("o_orderkey").cast("string")).alias("hk"), F.encode(F.lit("0001"), "UTF-8").alias("sk"), holder.alias("transaction_id"), created.alias("transaction_ts"), created.alias("created_at"), F.lit("put").alias("operation"), F.lit(1).alias("data_kind"), F.lit(None).cast("binary").alias("data_bin"), F.col("o_orderpriority").alias("data_text"))
 
 
 NOW_MS = 985_000_000_000
@@ -628,48 +629,4 @@ def j_bloom_sizing(spark, sf_dir):
     return bloom.sizing(spark, 1024, 0.01, 9)
 
 
-@query()
-def j_bloom_membership(spark, sf_dir):
-    """Orders' customers asked of a filter of at most a megabyte; no false negatives."""
-    made = bloom.LayeredBloom(1024, 0.01, 1 << 20)
-    known = fixtures.table(spark, sf_dir, "nation").select(fixtures.key("n#", F.col("n_nationkey").cast("string")).alias("k")).collect()  # 25 rows
-    for r in known:
-        made.add(bytes(r["k"]))
-    c = fixtures.table(spark, sf_dir, "customer").select("c_custkey", fixtures.key("n#", F.col("c_nationkey").cast("string")).alias("k"))
-    return bloom.may_contain(c, "k", made).select("c_custkey", "maybe")
-
-
-@query()
-def b_xxh32_placement(spark, sf_dir):
-    """Root and child by XXH32, as other stores of this model place keys."""
-    k = fixtures.orders(spark, sf_dir).select("hk").distinct()
-    return k.select(_text("hk"), (hashing.xxh32_column(F.col("hk"), F.lit(0)) % 10).alias("root"), (hashing.xxh32_column(F.col("hk"), F.lit(1)) % 4).alias("child"))
-
-
-@query()
-def k_stream_upserts(spark, sf_dir):
-    """The events' log through a streaming query with state, until it is at its end."""
-    import tempfile
-    import uuid
-
-    from lodekey.streaming.upserts import apply_stream
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodekey-")
-    source = spark.readStream.schema(fixtures.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    run = uuid.uuid4().hex
-    log = source.select(
-        fixtures.key("user#", F.col("user_id").cast("string")).alias("hk"),
-        F.lit(b"").alias("sk"),
-        (F.unix_micros(F.col("ts").cast("timestamp"))).alias("seq"),
-        F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("operation"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"),
-        F.col("props").alias("data_text"),
-    )
-    out, done = f"{folder}/stream-{run}", f"{folder}/stream-{run}-state"
-
-    def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("append").parquet(out)
-
-    apply_stream(log).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", done).trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.parquet(out)
-    return got.filter("not deleted").select(_text("hk"), "v", F.col("last_transaction_ts").alias("ts"), F.col("data_text").alias("data"))
+from lodekey import catalogue_more  # noqa: E402, F401  registers the rest

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodekey.functions.keys import separator_column
 from lodekey.schema import PROMOTION_SHARE
+from lodekey.sources.written import written
 
 
 def key_sizes(items: DataFrame) -> DataFrame:
@@ -29,17 +30,23 @@ def heavy_keys(sizes: DataFrame, max_size_bytes: int) -> DataFrame:
     return sizes.filter(F.col("est_bytes") >= F.lit(max_size_bytes * PROMOTION_SHARE))
 
 
-def running_sum(df: DataFrame, key: str, order: str, value: str, name: str, block: int = 4096) -> DataFrame:
+def bounded_count(items: DataFrame, n: int) -> DataFrame:
+    """Items of each hash key, counted up to ``n``; each task reads on no further for a key."""
+    some = items.select("hk", "sk").withColumn("_n", F.row_number().over(Window.partitionBy("hk").orderBy("sk"))).filter(F.col("_n") <= n)
+    return some.groupBy("hk").agg(F.count("*").alias("n"))
+
+
+def running_sum(df: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
     """Running sum in each key by ``order``, without a key meeting in one task.
 
-    About one in ``block`` of the order values, picked by a hash, bounds the
-    ranges that a key is cut into; ranges get the sums of those before them,
-    rows the sum inside their range.  ``order`` is unique in a key.
+    Spark deals rows to ranges of (``key``, ``order``) by sampled bounds, so a
+    frequent key is cut into many.  The ranges are written once with their
+    number; rows get the sum inside their range, and that of the key's ranges
+    before it.  ``order`` is unique in a key.
     """
-    picked = df.filter(F.pmod(F.xxhash64(order), F.lit(block)) == 0)
-    bounds = picked.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("_bounds"))
-    ranged = df.join(bounds, key, "left").withColumn("_range", F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col(order))), F.lit(0))).drop("_bounds")
-    sums = ranged.groupBy(key, "_range").agg(F.sum(value).alias("_s"))
+    ranged = df.repartitionByRange(key, order).withColumn("_range", F.spark_partition_id())
+    ranged = written(ranged, "ranges")
+    sums = ranged.groupBy(key, "_range").agg(F.sum(value).alias("_s"))  # a row per range and key
     before = sums.select(key, "_range", F.coalesce(F.sum("_s").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = ranged.withColumn("_own", F.sum(value).over(Window.partitionBy(key, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
     return own.join(before, [key, "_range"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_before", "_own")
@@ -60,7 +67,7 @@ def split_boundaries(items: DataFrame, n: int, start: bytes | None = None, end:
         inside = inside.filter(F.col("sk") >= F.lit(start))
     if end is not None:
         inside = inside.filter(F.col("sk") < F.lit(end))
-    rows = running_sum(inside.select("hk", "sk", "est_row_bytes"), "hk", "sk", "est_row_bytes", "acc")
+    rows = written(running_sum(inside.select("hk", "sk", "est_row_bytes"), "hk", "sk", "est_row_bytes", "acc").select("hk", "sk", "acc"), "sums")
     found = totals.join(rows.groupBy("hk").agg(F.min("sk").alias("first_sk")), "hk").select("hk", "step", F.col("step").alias("threshold"), "first_sk", F.array().cast("array<binary>").alias("cuts"))
     for _ in range(n - 1):
         hit = rows.join(found, "hk").filter((F.col("acc") >= F.col("threshold")) & (F.col("sk") > F.col("first_sk")))

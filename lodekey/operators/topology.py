@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodekey.functions.hashing import bucket
+from lodekey.functions.partition_ids import range_name
 from lodekey.schema import SPLIT_SLACK
+from lodekey.sources.written import written
 
 READY, FORWARD, OVER_SIZE, OUT_OF_RANGE = "ok", "forward", "reject_over_size", "reject_out_of_range"
 
@@ -15,20 +17,38 @@ def root_of(hk: Column, roots: int) -> Column:
     return bucket(hk, 0, roots)
 
 
-def route_hash(items: DataFrame, roots: int, fan_out: int, split: DataFrame | None = None, depth: int = 4) -> DataFrame:
+def route_hash(items: DataFrame, roots: int, fan_out: int, split: DataFrame | None = None) -> DataFrame:
     """Adds ``partition``, the name of each row's hash leaf.
 
     ``split`` lists names of partitions that have split (``name``); a row
-    goes down while the one that it is in has.
+    goes down while the one that it is in has.  One join a level, as many as
+    the deepest of them has.
     """
     out = items.withColumn("partition", F.concat(F.lit("h."), root_of(F.col("hk"), roots).cast("string")))
     if split is not None:
         names = split.select(F.col("name").alias("_split")).distinct()
-        for d in range(depth):
+        deepest = names.agg(F.max(F.size(F.split("_split", r"\."))).alias("n")).first()["n"] or 1
+        for d in range(deepest - 1):
             out = out.join(names, F.col("partition") == F.col("_split"), "left").withColumn("partition", F.when(F.col("_split").isNotNull(), F.concat("partition", F.lit("."), bucket(F.col("hk"), d + 1, fan_out).cast("string"))).otherwise(F.col("partition"))).drop("_split")
     return out
 
 
+def route(items: DataFrame, roots: int, fan_out: int, split: DataFrame, promoted: DataFrame, leaves: DataFrame, table: str) -> DataFrame:
+    """Adds ``partition``: of promoted keys their range leaf, of all others their hash leaf.
+
+    ``promoted`` has ``hk`` and ``status``; from ``promoting`` on a key's rows
+    are in its range tree, whose slices ``leaves`` has (``hk``, ``start``,
+    ``end``; no bytes: open).
+    """
+    moved = promoted.filter(F.col("status").isin("promoting", "promoted")).select("hk").distinct()
+    known = moved.join(leaves.select("hk", "start", "end"), "hk", "left").select("hk", F.coalesce("start", F.lit(b"")).alias("start"), F.coalesce("end", F.lit(b"")).alias("end"))
+    bound = lambda c: F.when(F.octet_length(c) > 0, F.col(c))
+    named = known.withColumn("child", range_name(table, F.col("hk"), bound("start"), bound("end")))
+    ranged = route_range(items, named).withColumn("partition", F.col("child")).drop("child", "start", "end")
+    hashed = route_hash(items.join(moved, "hk", "left_anti"), roots, fan_out, split)
+    return hashed.withColumn("partition", F.concat(F.lit(f"{table}."), "partition")).select(ranged.columns).unionByName(ranged)
+
+
 def route_range(rows: DataFrame, leaves: DataFrame) -> DataFrame:
     """Each row with the leaf of its key whose slice [start, end) holds it."""
     owned = leaves.select(F.col("hk").alias("l_hk"), "child", "start", "end")
@@ -87,10 +107,52 @@ def promotions(heavy: DataFrame, promoted: DataFrame, locks: DataFrame) -> DataF
     return fresh.join(locks.select("hk"), "hk", "left_anti")
 
 
-def guarded_transition(promoted: DataFrame, changes: DataFrame) -> DataFrame:
-    """Sets ``status`` to ``to_status`` only where it is ``from_status``."""
+def insert_promotions(promoted: DataFrame, new: DataFrame, now_ms: int) -> DataFrame:
+    """``promoted`` with those of ``new`` (``hk``, ``status``) whose key it hasn't; a key that is there stays as it is."""
+    fresh = new.groupBy("hk").agg(F.min("status").alias("status")).join(promoted.select("hk"), "hk", "left_anti")
+    return promoted.unionByName(fresh.select("hk", "status", F.lit(now_ms).cast("long").alias("updated_at"), F.lit(False).alias("gc_done")))
+
+
+def guarded_transition(promoted: DataFrame, changes: DataFrame, now_ms: int | None = None) -> DataFrame:
+    """Sets ``status`` to ``to_status`` only where it is ``from_status``; ``updated`` says where."""
     m = promoted.join(changes.select("hk", "from_status", "to_status"), "hk", "left")
-    return m.withColumn("status", F.when(F.col("status") == F.col("from_status"), F.col("to_status")).otherwise(F.col("status"))).drop("from_status", "to_status")
+    m = m.withColumn("updated", F.coalesce(F.col("status") == F.col("from_status"), F.lit(False)))
+    if now_ms is not None:
+        m = m.withColumn("updated_at", F.when(F.col("updated"), F.lit(now_ms).cast("long")).otherwise(F.col("updated_at")))
+    return m.withColumn("status", F.when(F.col("updated"), F.col("to_status")).otherwise(F.col("status"))).drop("from_status", "to_status")
+
+
+def in_flight(promoted: DataFrame) -> DataFrame:
+    return promoted.filter(F.col("status").isin("queued", "promoting"))
+
+
+def needing_gc(promoted: DataFrame, most: int | None = None) -> DataFrame:
+    """Promoted keys whose rows are still in their old partition too."""
+    left = promoted.filter("status = 'promoted' and not gc_done").select("hk")
+    return left if most is None else left.orderBy("hk").limit(most)
+
+
+def mark_gc_done(promoted: DataFrame, done: DataFrame) -> DataFrame:
+    hit = done.select("hk", F.lit(True).alias("_done")).distinct()
+    return promoted.join(hit, "hk", "left").withColumn("gc_done", F.col("gc_done") | F.coalesce("_done", F.lit(False))).drop("_done")
+
+
+def promoted_page(promoted: DataFrame, n: int, after: bytes | None = None) -> DataFrame:
+    rows = promoted if after is None else promoted.filter(F.col("hk") > F.lit(after))
+    return rows.select("hk", "status").orderBy("hk").limit(n)
+
+
+def learn_slices(hierarchy: DataFrame, new: DataFrame) -> DataFrame:
+    """``hierarchy`` with the slices that it doesn't know yet."""
+    key = ["hk", "depth", "sk_start_boundary", "sk_end_boundary"]
+    return hierarchy.select(key).unionByName(new.select(key).distinct().join(hierarchy.select(key), key, "left_anti"))
+
+
+def ancestors_above(hierarchy: DataFrame, leaves: DataFrame) -> DataFrame:
+    """For each leaf (``hk``, ``leaf_depth``) the known slices above it, with ``nth`` from the root."""
+    m = leaves.select("hk", "leaf_depth").join(hierarchy, "hk").filter(F.col("depth") < F.col("leaf_depth"))
+    order = Window.partitionBy("hk", "leaf_depth").orderBy("depth", "sk_start_boundary")
+    return m.withColumn("nth", F.row_number().over(order))
 
 
 def select_ancestors(hierarchy: DataFrame, from_root: int, from_leaf: int, key: str = "leaf") -> DataFrame:
@@ -109,19 +171,23 @@ def is_strict_slice(start: Column, end: Column, p_start: Column, p_end: Column)
     return inside & ~((start == p_start) & (end == p_end))
 
 
-def destroy_order(partitions: DataFrame, depth: int = 32) -> DataFrame:
+def destroy_order(partitions: DataFrame) -> DataFrame:
     """``step`` of each partition in a removal of children before parents.
 
     ``partitions`` has ``name``, ``parent`` (null for roots) and ``status``;
-    queued promotions have made nothing yet.  One join a level, until a level
-    is empty.
+    queued promotions have made nothing yet.  Each round doubles how far up a
+    row has looked, so rounds grow with the logarithm of the depth, and ends
+    with a written table.  Partitions under none that is there are left out.
     """
     made = partitions.filter("status <> 'queued'").dropDuplicates(["name"])
-    level = made.filter("parent is null").select("name", F.lit(0).alias("level"))
-    out, deepest = level, 0
-    for d in range(1, depth):
-        level = made.join(level.select(F.col("name").alias("parent")), "parent").select("name", F.lit(d).alias("level"))
-        if level.isEmpty():
-            break
-        out, deepest = out.unionByName(level), d
-    return out.withColumn("step", F.lit(deepest) - F.col("level"))
+    rows = written(made.select("name", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("level")), "levels")
+    rounds = rows.count().bit_length() + 1
+    while not rows.filter("up is not null").isEmpty():
+        if not rounds:
+            raise ValueError("partitions are their own ancestors")
+        rounds -= 1
+        above = rows.select(F.col("name").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
+        done = rows.filter("up is null")
+        rows = written(done.unionByName(rows.join(above, "up").select("name", F.col("next").alias("up"), (F.col("level") + F.col("more")).alias("level"))), "levels")
+    deepest = rows.agg(F.max("level").alias("n")).first()["n"]
+    return rows.select("name", "level", (F.lit(deepest) - F.col("level")).alias("step"))

@@ -56,7 +56,7 @@ def new_locks(prepared: DataFrame, decisions: DataFrame, now_ms: int) -> DataFra
     """Locks that committed decisions take; a check takes one too."""
     won = decisions.filter("outcome = 'committed'").select("transaction_id")
     fresh = prepared.filter(~F.col("already_locked")).join(won, "transaction_id", "left_semi")
-    return fresh.select("hk", "sk", "transaction_id", "transaction_ts", F.lit(now_ms).cast("long").alias("created_at"), "operation")
+    return fresh.select("hk", "sk", "transaction_id", "transaction_ts", F.lit(now_ms).cast("long").alias("created_at"), "operation", "data_kind", "data_bin", "data_text")
 
 
 def independent(requests: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def apply_commits(items: DataFrame, requests: DataFrame, decisions: DataFrame) -
     A put clears the time to live, and a check moves the item's time only.
     """
     won = requests.join(decisions.filter("outcome = 'committed'").select("transaction_id"), "transaction_id", "left_semi")
-    won = won.select("hk", "sk", "operation", F.col("transaction_ts").alias("ts"), F.col("data_kind").alias("n_kind"), F.col("data_text").alias("n_text"))
+    won = won.select("hk", "sk", "operation", F.col("transaction_ts").alias("ts"), F.col("data_kind").alias("n_kind"), F.col("data_bin").alias("n_bin"), F.col("data_text").alias("n_text"))
     m = items.join(won, ["hk", "sk"], "full_outer").filter("operation is null or operation = 'put' or (operation = 'check' and v is not null)")
     put = F.coalesce(F.col("operation") == "put", F.lit(False))
     out = m.select(
@@ -86,7 +86,7 @@ def apply_commits(items: DataFrame, requests: DataFrame, decisions: DataFrame) -
         F.when(put, F.coalesce("v", F.lit(0)) + 1).otherwise(F.col("v")).alias("v"),
         F.greatest("last_transaction_ts", "ts").alias("last_transaction_ts"),
         F.when(~put, F.col("ttl_epoch_utc_seconds")).alias("ttl_epoch_utc_seconds"),
-        F.when(~put, F.col("data_bin")).alias("data_bin"),
+        F.when(put, F.col("n_bin")).otherwise(F.col("data_bin")).alias("data_bin"),
         F.when(put, F.col("n_text")).otherwise(F.col("data_text")).alias("data_text"),
     )
     return out.withColumn("est_row_bytes", sizes.row_bytes(F.col("hk"), F.col("sk"), F.col("data_bin"), F.col("data_text")))
@@ -155,6 +155,27 @@ def pending_page(locks: DataFrame, n: int, after: tuple[bytes, bytes, str] | Non
     return locks.orderBy("hk", "sk", "transaction_id").limit(n)
 
 
+def locks_on(locks: DataFrame, keys: DataFrame) -> DataFrame:
+    """Each of ``keys`` with the transaction that holds it (the least, if several; null: none)."""
+    held = locks.join(keys.select("hk", "sk").distinct(), ["hk", "sk"]).groupBy("hk", "sk").agg(F.min("transaction_id").alias("holder"))
+    return keys.join(held, ["hk", "sk"], "left")
+
+
+def locks_of(locks: DataFrame, transactions: DataFrame) -> DataFrame:
+    """The locked items of some transactions, with what each will do."""
+    return locks.join(transactions.select("transaction_id").distinct(), "transaction_id", "left_semi")
+
+
+def lock_counts(locks: DataFrame) -> DataFrame:
+    """Locks of each transaction."""
+    return locks.groupBy("transaction_id").agg(F.count("*").alias("locks"))
+
+
+def any_locks(locks: DataFrame) -> bool:
+    """Reads one row, however many there are."""
+    return not locks.select("transaction_id").isEmpty()
+
+
 def release(locks: DataFrame, done: DataFrame) -> DataFrame:
     """The locks that are left after transactions ended."""
     return locks.join(done.select("transaction_id").distinct(), "transaction_id", "left_anti")

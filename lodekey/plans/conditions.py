@@ -44,22 +44,28 @@ def evaluate(conditions: list[dict] | None, v: int | None) -> int | None:
     return None
 
 
+def _with_bytes(items: DataFrame) -> DataFrame:
+    return items if "data_bin" in items.columns else items.withColumn("data_bin", F.lit(None).cast("binary"))
+
+
 def invalid_operations(items: DataFrame) -> DataFrame:
     """Every breach in transaction requests: ``transaction_id`` and ``problem``.
 
-    Request rows are transaction items with ``data_text``; keys are compared
-    as encoded bytes.
+    Request rows are transaction items with ``data_text`` or ``data_bin``; keys
+    are compared as encoded bytes.
     """
+    items = _with_bytes(items)
+    has_data = F.col("data_text").isNotNull() | F.col("data_bin").isNotNull()
     conditions = F.coalesce(F.size("conditions"), F.lit(0))
     problem = (
-        F.when((F.col("operation") == "put") & F.col("data_text").isNull(), "put_without_data")
-        .when(F.col("operation").isin("delete", "check") & F.col("data_text").isNotNull(), "data_not_allowed")
+        F.when((F.col("operation") == "put") & ~has_data, "put_without_data")
+        .when(F.col("operation").isin("delete", "check") & has_data, "data_not_allowed")
         .when((F.col("operation") == "check") & (conditions <= 0), "check_without_condition")
         .when(~F.col("operation").isin("put", "delete", "check"), "unknown_operation")
     )
     rows = items.select("transaction_id", problem.alias("problem")).filter("problem is not null")
     twice = items.groupBy("transaction_id", "hk", "sk").agg(F.count("*").alias("n")).filter("n > 1").select("transaction_id", F.lit("duplicate_key").alias("problem"))
-    whole = items.groupBy("transaction_id").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("data_text"), F.lit(0))).alias("b"))
+    whole = items.groupBy("transaction_id").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("data_bin"), F.octet_length("data_text"), F.lit(0))).alias("b"))
     many = whole.filter(F.col("n") > MAX_TX_ITEMS).select("transaction_id", F.lit("too_many_items").alias("problem"))
     large = whole.filter(F.col("b") > MAX_TX_BYTES).select("transaction_id", F.lit("payload_too_large").alias("problem"))
     return rows.unionByName(twice).unionByName(many).unionByName(large).distinct()
@@ -71,8 +77,8 @@ def request_fingerprint(items: DataFrame) -> DataFrame:
     Presence is part of it: data of no length differs from no data, and kinds
     differ.  Conditions count as their JSON text.
     """
-    one = F.sha2(F.to_json(F.struct(F.hex("hk").alias("hk"), F.hex("sk").alias("sk"), "operation", F.col("data_text").isNotNull().alias("has_data"), "data_kind", "data_text", F.to_json("conditions").alias("conditions")), {"ignoreNullFields": "false"}), 256)
-    return items.groupBy("transaction_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(one)), "\n"), 256).alias("operations_hash"))  # at most MAX_TX_ITEMS rows
+    one = F.sha2(F.to_json(F.struct(F.hex("hk").alias("hk"), F.hex("sk").alias("sk"), "operation", (F.col("data_text").isNotNull() | F.col("data_bin").isNotNull()).alias("has_data"), "data_kind", F.hex("data_bin").alias("data_bin"), "data_text", F.to_json("conditions").alias("conditions")), {"ignoreNullFields": "false"}), 256)
+    return _with_bytes(items).groupBy("transaction_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(one)), "\n"), 256).alias("operations_hash"))  # at most MAX_TX_ITEMS rows
 
 
 def reason_json(reason: str, **details) -> str:

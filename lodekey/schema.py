@@ -25,7 +25,7 @@ ITEM = _struct(
     data_text=T.StringType(),
 )
 OPERATION = _struct(seq=T.LongType(), hk=T.BinaryType(), sk=T.BinaryType(), operation=T.StringType(), ts=T.LongType(), data_kind=T.IntegerType(), data_bin=T.BinaryType(), data_text=T.StringType(), conditions=_CONDITIONS)
-PENDING = _struct(hk=T.BinaryType(), sk=T.BinaryType(), transaction_id=T.StringType(), transaction_ts=T.LongType(), created_at=T.LongType(), operation=T.StringType())
+PENDING = _struct(hk=T.BinaryType(), sk=T.BinaryType(), transaction_id=T.StringType(), transaction_ts=T.LongType(), created_at=T.LongType(), operation=T.StringType(), data_kind=T.IntegerType(), data_bin=T.BinaryType(), data_text=T.StringType())
 TX_ITEM = _struct(
     transaction_id=T.StringType(),
     transaction_ts=T.LongType(),
@@ -37,6 +37,7 @@ TX_ITEM = _struct(
     data_kind=T.IntegerType(),
     data_text=T.StringType(),
     conditions=_CONDITIONS,
+    data_bin=T.BinaryType(),
 )
 
 # Kinds by code, in this order.

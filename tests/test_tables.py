@@ -11,7 +11,7 @@ from lodekey.operators.query import SubQuery, query_items
 from lodekey.plans.conditions import ITEM_NOT_EXISTS, attribute_equals, evaluate
 from lodekey.plans.intervals import Condition
 from lodekey.schema import ITEM, PENDING, TX_ITEM
-from lodekey.sources.store import ConditionFailed, LayoutError, Table, TableConfig, WriteOperation
+from lodekey.sources.store import ConditionFailed, Conflict, LayoutError, Locked, Table, TableConfig, WriteOperation
 
 
 def items(spark, rows):
@@ -174,7 +174,7 @@ def test_children_tile_the_range(spark):
 
 def test_running_sum_in_ranges(spark):
     t = spark.range(1000).selectExpr("cast(id % 3 as string) k", "id o", "id v")
-    got = {(r.k, r.o): r.s for r in stats.running_sum(t, "k", "o", "v", "s", block=7).collect()}
+    got = {(r.k, r.o): r.s for r in stats.running_sum(t, "k", "o", "v", "s").collect()}
     so_far = {}
     for i in range(1000):
         so_far[str(i % 3)] = so_far.get(str(i % 3), 0) + i
@@ -214,12 +214,12 @@ def test_conditional_log_against_a_model(spark):
 
 
 def _tx(tx, ts, n, hk, op, text=None, cond=None, part="p0"):
-    return (tx, ts, n, part, hk, b"", op, None if text is None else 1, text, cond)
+    return (tx, ts, n, part, hk, b"", op, None if text is None else 1, text, cond, None)
 
 
 def test_transactions(spark):
     base = items(spark, [("old", None, "o"), ("held", None, "h")]).withColumn("last_transaction_ts", F.lit(50).cast("long"))
-    locks = spark.createDataFrame([(b"held", b"", "other", 1, 1, "put")], PENDING)
+    locks = spark.createDataFrame([(b"held", b"", "other", 1, 1, "put", 1, None, "x")], PENDING)
     marks = spark.createDataFrame([("p0", 70)], "partition_id string, max_deleted_ts long")
     exists = [("item_exists", None)]
     req = spark.createDataFrame(
@@ -293,17 +293,176 @@ def test_stored_transactions(spark, tmp_path):
     assert t.transact_write([put("k0", b"\x00\x01"), WriteOperation("delete", "k1")], 300) == ("committed", None)
     assert bytes(t.get_item("k0")["data_bin"]) == b"\x00\x01"
     assert t.transact_write([put("k1")], 300) == ("cancelled", "timestamp_conflict")
-    got = t.transact_get([("k2", None), ("k1", None), ("k2", None), ("k0", None)])
-    assert [r and r["v"] for r in got] == [1, None, 1, 2]
+    assert t.get_item("k0")["est_row_bytes"] == 2 + 2 + 100
+    outcome, got = t.transact_get([("k2", None), ("k1", None), ("k2", None), ("k0", None)])
+    assert (outcome, [r and r["v"] for r in got]) == ("committed", [1, None, 1, 2])
     for bad in ([put("a"), put("a")], [WriteOperation("put", "a")], [WriteOperation("check", "a")], [put(f"k{i}") for i in range(101)], []):
         with pytest.raises(ValueError):
             t.transact_write(bad, 400)
 
 
 def test_locks(spark):
-    locks = spark.createDataFrame([(b"a", b"", "t1", 1, 1, "put"), (b"a", b"x", "t2", 1, 1, "put"), (b"b", b"", "t1", 1, 1, "put")], PENDING)
+    locks = spark.createDataFrame([(hk, sk, t, 1, 1, "put", 1, None, "x") for hk, sk, t in ((b"a", b"", "t1"), (b"a", b"x", "t2"), (b"b", b"", "t1"))], PENDING)
     assert {bytes(r.hk): (r.locks, r.transactions) for r in transactions.pending_counts(locks).collect()} == {b"a": (2, 2), b"b": (1, 1)}
     first = transactions.pending_page(locks, 1).first()
     rest = transactions.pending_page(locks, 5, (bytes(first.hk), bytes(first.sk), first.transaction_id)).collect()
     assert [(bytes(r.hk), bytes(r.sk)) for r in rest] == [(b"a", b"x"), (b"b", b"")]
     assert transactions.release(locks, spark.createDataFrame([("t1",)], "transaction_id string")).count() == 1
+
+
+def _folders(t):
+    return t._version().roots
+
+
+def test_a_put_writes_its_root_only(spark, tmp_path):
+    t = Table(spark, str(tmp_path), TableConfig("w"))
+    t.publish(items(spark, [(f"k{i}", None, "x") for i in range(60)]))
+    before = _folders(t)
+    assert len(before) == 10
+    t.put_item("k1", "y")
+    after = _folders(t)
+    assert {r for r in before if before[r] != after[r]} == {t._root(b"k1")}
+    assert t.items().count() == 60
+    assert t.items(1).filter("data_text = 'y'").isEmpty()
+    assert t.remove_old(keep=1, older_than_ms=0) > 0
+    assert (t.items().count(), t.get_item("k1")["data_text"]) == (60, "y")
+    assert len(t._numbers()) == 1
+    t.put_item("k1", "z")
+    assert t.remove_old(keep=1) == 0  # too young
+    s = {r.root: r for r in t.status().collect()}
+    assert sum(r.n_items for r in s.values()) == 60
+    assert len(s) == 10
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    a, b = (Table(spark, str(tmp_path), TableConfig("two")) for _ in range(2))
+    a.put_item("x", "0")
+    real = Table._changed
+
+    def late(self, v, roots, edit):  # the other comes first, once
+        monkeypatch.setattr(Table, "_changed", real)
+        b.put_item("x", "b")
+        return real(self, v, roots, edit)
+
+    monkeypatch.setattr(Table, "_changed", late)
+    assert a.put_item("x", "a") == 3
+    assert (b.get_item("x")["v"], b.get_item("x")["data_text"]) == (3, "a")
+    monkeypatch.setattr(Table, "_write", lambda self, name, text, replacing=True: replacing)
+    with pytest.raises(Conflict):
+        a.put_item("x", "c")
+
+
+def test_crashes_between_writes(spark, tmp_path, monkeypatch):
+    t = Table(spark, str(tmp_path), TableConfig("crash"))
+    t.put_item("a", "0", now_ms=1)
+    ops = [WriteOperation("put", "a", data="1"), WriteOperation("delete", "b")]
+    real = Table._write
+    for at in range(3):
+        token, calls = f"token{at}", []
+
+        def write(self, name, text, replacing=True, at=at, calls=calls):
+            calls.append(name)
+            if len(calls) == at + 1:
+                raise OSError("lost")
+            return real(self, name, text, replacing)
+
+        before = t.get_item("a")["v"]
+        monkeypatch.setattr(Table, "_write", write)
+        try:
+            t.transact_write(ops, 100 * (at + 1), token=token)
+        except OSError:
+            pass
+        monkeypatch.setattr(Table, "_write", real)
+        for _ in range(2):  # tried again
+            assert t.transact_write(ops, 100 * (at + 1), token=token) == ("committed", None)
+        assert t.get_item("a")["v"] == before + 1
+        t.put_item("other", "x")  # the token is found when other versions have come
+        assert t.transact_write(ops, 100 * (at + 1), token=token) == ("committed", None)
+        assert t.get_item("a")["v"] == before + 1
+
+
+def test_locks_of_stored_tables(spark, tmp_path):
+    t = Table(spark, str(tmp_path), TableConfig("locks"))
+    t.put_item("a", "0", now_ms=1)
+    ops = [WriteOperation("put", "a", data=b"\x01\x02"), WriteOperation("check", "c", conditions=[{"type": "item_not_exists"}])]
+    assert t.prepare("t1", ops, 10) is None
+    assert t.prepare("t1", ops, 10) is None
+    assert t.locks().count() == 2
+    with pytest.raises(Locked):
+        t.put_item("a", "1")
+    with pytest.raises(Locked):
+        t.delete_item("c")
+    t.put_item("b", "free")
+    assert t.prepare("t2", [WriteOperation("put", "a", data="2")], 20) == "pending_conflict"
+    assert t.transact_write([WriteOperation("put", "a", data="2")], 20) == ("cancelled", "pending_conflict")
+    assert t.transact_get([("b", None), ("a", None)])[0] == "pending_write"
+    assert {r.locks for r in t.status().collect()} == {0, 1} or sum(r.locks for r in t.status().collect()) == 2
+    assert t.finish("t1", commit=True)
+    assert not t.finish("t1", commit=True)
+    assert (t.get_item("a")["v"], bytes(t.get_item("a")["data_bin"]), t.get_item("a")["est_row_bytes"]) == (2, b"\x01\x02", 103)
+    assert t.get_item("c") is None
+    assert t.put_item("a", "3") == 3
+    assert t.prepare("t3", [WriteOperation("delete", "b")], 30) is None
+    assert t.prepare("t4", [WriteOperation("delete", "a")], 30) is None
+    states = spark.createDataFrame([("t4", "COMMITTING"), ("t3", "PREPARING")], "transaction_id string, state string")
+    assert t.recover(states, 40) == {}
+    assert t.recover(states, 100_000) == {"t3": "wait", "t4": "commit"}
+    assert t.get_item("a") is None
+    assert t.recover(states.filter("transaction_id = 'none'"), 100_000) == {"t3": "cancel"}
+    assert t.get_item("b")["data_text"] == "free"
+    assert t.locks().isEmpty()
+
+
+def test_settings_that_may_change(spark, tmp_path):
+    Table(spark, str(tmp_path), TableConfig("c"))
+    Table(spark, str(tmp_path), TableConfig("c", max_size_mb=7))
+    with pytest.raises(LayoutError):
+        Table(spark, str(tmp_path), TableConfig("c", hash_split=8))
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    t = Table(spark, str(tmp_path), TableConfig("b"))
+    assert t.publish(items(spark, [("a", None, "x")]), "s", 0) == 1
+    assert t.publish(items(spark, [("a", None, "y")]), "s", 0) == 1
+    assert t.get_item("a")["data_text"] == "x"
+    assert t.publish(items(spark, [("a", None, "y")]), "other", 0) == 2
+    assert (t.published("s"), t.published("none")) == (0, -1)
+
+
+def test_removal_of_deep_trees(spark):
+    chain = [(f"n{i}", f"n{i - 1}" if i else None, "promoted") for i in range(40)]
+    rows = [*chain, ("lost", "nowhere", "promoted"), ("q", "n3", "queued"), ("side", "n3", "promoted")]
+    got = {r.name: (r.level, r.step) for r in topology.destroy_order(spark.createDataFrame(rows, "name string, parent string, status string")).collect()}
+    assert got == {f"n{i}": (i, 39 - i) for i in range(40)} | {"side": (4, 35)}
+    with pytest.raises(ValueError):
+        topology.destroy_order(spark.createDataFrame([("a", "b", "x"), ("b", "a", "x")], "name string, parent string, status string"))
+
+
+def test_routes_below_deep_splits(spark):
+    t = items(spark, [(f"k{i}", None, "x") for i in range(40)])
+    names = ["h.0"]
+    for _ in range(6):
+        names += [f"{n}.{c}" for n in names for c in range(2) if f"{n}.{c}" not in names]
+    got = topology.route_hash(t, 1, 2, spark.createDataFrame([(n,) for n in names], "name string"))
+    assert got.filter(F.col("partition").isin(names)).isEmpty()
+    assert {r.n for r in got.select(F.size(F.split("partition", r"\.")).alias("n")).distinct().collect()} == {9}
+
+
+def test_children_begun_again():
+    from lodekey.operators import splits
+
+    one = splits.begin_child({"parent": "p", "number": 1}, None)
+    assert splits.begin_child({"parent": "p", "number": 1}, one | {"cursor": "x"})["cursor"] == "x"
+    with pytest.raises(splits.Conflicting):
+        splits.begin_child({"parent": "p", "number": 2}, one)
+
+
+def test_votes_are_counted_once(spark):
+    from lodekey.operators import coordinator
+
+    voters = spark.createDataFrame([("t", "p0", "yes", False), ("t", "p1", None, False)], "transaction_id string, partition_id string, vote string, done boolean")
+    cast = lambda v, n: spark.createDataFrame([("t", "p0", "condition_failed", 1), ("t", "p1", v, n)], "transaction_id string, partition_id string, vote string, attempt int")
+    after = lambda c: {r.partition_id: r.vote for r in coordinator.record_votes(voters, c).collect()}
+    assert after(cast("transient_error", 3)) == {"p0": "yes", "p1": None}
+    assert after(cast("transient_error", coordinator.MOST_ATTEMPTS)) == {"p0": "yes", "p1": "transient_error"}
+    assert after(cast("yes", 1)) == {"p0": "yes", "p1": "yes"}
