@@ -13,13 +13,13 @@ Texts that share most of their shingles may differ in more bits than such
 balls reach.  ``one_per_component`` joins them by the same tables with more
 segments of few bits, balls of radius one, and a wider complete distance; as
 so short segments are alike by chance, a table's place is a segment's value
-together with the least of the text's shingles in the table's own order.
-What it finds is compared by whole shingle sets.
+together with the least of the text's shingles in two orders of the table's
+own.  What it finds is compared by whole shingle sets.
 
-Two texts with a Jaccard similarity of 0.8 share a table's least shingle with
-a chance of 0.8 and differ in about 15 % of their bits, so one segment is in
-the other's ball with 0.65, any of the eight with 0.997; they differ in at
-most 18 of 64 bits with 0.998.
+By calculation, two texts with a Jaccard similarity of 0.8 share both least
+shingles of a table with a chance of 0.64 and differ in 15 % of their bits, so
+a segment is in the other's ball with 0.81, and any of twelve tables finds them
+with 0.9998; they differ in at most 18 of 64 bits with 0.998.
 
 Defined results: null and blank texts have fingerprint zero and are linked
 like any others; texts of fewer words than a shingle are one shingle;
@@ -39,8 +39,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodekey.llm import similar, staging
+from lodekey.llm import files, similar, staging
+from lodekey.llm.archives import ROW_BITS, archive, by_archive, texts_at
 from lodekey.llm.components import components
+from lodekey.llm.rolling import mix
 from lodekey.llm.shingles import shingle_hashes
 
 SHINGLE = 4
@@ -130,55 +132,94 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTA
 SIMILAR_WIDTH = 5
 SIMILAR = 0.8
 SIMILAR_DISTANCE = 18
-SIMILAR_SEGMENTS = 8
-_TIMES, _PLUS = np.random.default_rng(5).integers(0, 1 << 64, (2, 64), np.uint64)
+SIMILAR_SEGMENTS = 12
+_TIMES, _PLUS = np.random.default_rng(5).integers(0, 1 << 64, (2, 128), np.uint64)
 _TIMES |= np.uint64(1)
 
 
 def least_shingles(s: np.ndarray, n: int) -> np.ndarray:
-    """The least of a set's hashes in each of ``n`` orders."""
-    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    """``n`` numbers, each for the two least of a set's hashes in two orders."""
+    least = np.full(2 * n, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), 4096):
-        least = np.minimum(least, (s[i : i + 4096, None] * _TIMES[:n] + _PLUS[:n]).min(0))
-    return least
+        least = np.minimum(least, (s[i : i + 4096, None] * _TIMES[: 2 * n] + _PLUS[: 2 * n]).min(0))
+    return mix(mix(least[:n]) + least[n:])
 
 
-def sketches(docs: DataFrame, width: int, segments: int) -> DataFrame:
-    """``kept``, the whole row, with a digest of the shingle set, its fingerprint and least shingles."""
-    chosen = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.col("text").cast("string").alias("text"))
-    schema = T.StructType([chosen.schema["kept"], *T.StructType.fromDDL("set binary, fp long, mins array<long>")])
+def sketches(docs: DataFrame, folder: str, width: int, segments: int) -> DataFrame:
+    """``kept``, the row without its text, the text's place, a digest of its shingle set, fingerprint and least shingles.
+
+    ``packed`` is null for a null text.
+    """
+    kept = F.struct(F.col("doc_id"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    chosen = docs.select(kept.alias("kept"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([chosen.schema["kept"], *T.StructType.fromDDL("rid long, at long, packed long, set binary, fp long, mins array<long>")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = (similar.shingles(t.as_py(), width) for t in b.column(1))
-            got = [(xxhash.xxh3_128_digest(s.tobytes()), simhash(s), least_shingles(s, segments)) for s in sets]
-            fp = np.array([g[1] for g in got], np.uint64).view(np.int64)
-            mins = pa.array([g[2].view(np.int64) for g in got], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.binary()), pa.array(fp), mins], names=schema.names)
+        import zstandard
+        from pyspark import TaskContext
+
+        task, row, at, pack = TaskContext.get().taskAttemptId(), 0, 0, zstandard.ZstdCompressor(level=1)
+        with files.replacing(archive(folder, task)) as out:
+            for b in batches:
+                got = []
+                for t in b.column(1):
+                    text = t.as_py()
+                    z = pack.compress((text or "").encode())
+                    out.write(z)
+                    s = similar.shingles(text, width)
+                    got.append((at, len(z) if text is not None else None, xxhash.xxh3_128_digest(s.tobytes()), simhash(s), least_shingles(s, segments).view(np.int64)))
+                    at += len(z)
+                place, size, digest, fp, mins = zip(*got, strict=True) if got else ((),) * 5
+                fp = np.array(fp, np.uint64).view(np.int64)
+                columns = [pa.array(np.arange(row, row + len(got)) + (task << ROW_BITS)), pa.array(place, pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(fp), pa.array(mins, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=schema.names)
+                row += len(got)
 
     return chosen.mapInArrow(run, schema)
 
 
+def _with_texts(rows: DataFrame, folder: str) -> DataFrame:
+    """``kept`` and ``text`` of rows, read from their archives."""
+    schema = T.StructType([rows.schema["kept"], T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places = list(zip(*(b.column(c).to_pylist() for c in ("rid", "at", "packed")), strict=True))
+            read = texts_at(folder, (p for p in places if p[2] is not None))
+            out, start, size = [], 0, 0
+            for i, p in enumerate(places):
+                out.append(None if p[2] is None else next(read).decode())
+                size += len(out[-1] or "")
+                if size > 1 << 20 or i + 1 == len(places):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(out)), pa.array(out, pa.string())], names=["kept", "text"])
+                    out, start, size = [], i + 1, 0
+
+    return by_archive(rows).select("kept", "rid", "at", "packed").mapInArrow(run, schema)
+
+
 def _tables(classes: DataFrame, segments: int) -> DataFrame:
-    """A row for each class and segment, where its least shingle is another class's too."""
+    """A row for each class and segment, where its least shingles are another class's too."""
     each = classes.select("node", "fp", F.posexplode("mins").alias("i", "m"))
     values = [F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << bits) - 1)) for at, bits in _segments(segments)]
-    each = each.select("node", "fp", "i", "m", F.array(*values)[F.col("i")].alias("value"))
-    return each.join(each.groupBy("i", "m").agg(F.count("*").alias("n")).filter("n > 1").select("i", "m"), ["i", "m"])
+    each = each.select("node", "fp", "i", F.xxhash64("i", "m").alias("table"), F.array(*values)[F.col("i")].alias("value"))
+    return each.join(each.groupBy("table").agg(F.count("*").alias("n")).filter("n > 1").select("table"), "table")
+
+
+def _stored(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("place", F.xxhash64("table", "value"))
 
 
 def _probes(rows: DataFrame, segments: int) -> DataFrame:
-    """Rows under all values in the ball round their own."""
+    """Rows at all places in the ball round their own."""
     balls = F.array(*[F.lit(_ball(bits, 1)).cast("array<bigint>") for _, bits in _segments(segments)])
-    return rows.withColumn("mask", F.explode(balls[F.col("i")])).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
+    return rows.withColumn("mask", F.explode(balls[F.col("i")])).withColumn("place", F.xxhash64("table", F.col("value").bitwiseXOR(F.col("mask"))))
 
 
 def _met(stored: DataFrame, asked: DataFrame, distance: int) -> DataFrame:
     """Pairs ``a``, ``b`` of one table place within ``distance`` bits."""
-    place = ["i", "m", "value", "h"]  # the hash has both sides dealt anew, so that Spark can split a frequent place
     near = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= distance
-    hashed = lambda d: d.withColumn("h", F.hash("i", "m", "value"))
-    return hashed(stored).join(hashed(asked), place).filter(near & (F.col("a") != F.col("b")))
+    hashed = lambda d: d.withColumn("h", F.hash("place"))  # noqa: E731  has both sides dealt anew, so that Spark can split a frequent place
+    return hashed(stored).join(hashed(asked), ["place", "h"]).filter(near & (F.col("a") != F.col("b")))
 
 
 def similar_links(classes: DataFrame, verified: Callable[[DataFrame], DataFrame], distance: int, segments: int) -> DataFrame:
@@ -186,22 +227,23 @@ def similar_links(classes: DataFrame, verified: Callable[[DataFrame], DataFrame]
 
     ``classes`` has ``node``, ``fp`` and ``mins``; ``verified`` keeps the pairs
     ``u`` < ``v`` that are similar.  First each class is compared with the
-    first of every table place that it is looked up at.  What these links join
-    needs no further pair, so then only pairs across components are compared,
-    all of them.
+    first of every place that it is stored at.  What these links join needs no
+    further pair, so then balls are looked up for pairs across components
+    only, and all of those are compared.
     """
     rows = staging.stage(_tables(classes, segments), "tables")
     ordered = [F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")]
-    as_b = lambda d: d.withColumnsRenamed({"node": "b", "fp": "b_fp"})
-    heads = rows.groupBy("i", "m", "value").agg(F.min(F.struct("node", "fp")).alias("head"))
-    heads = heads.select("i", "m", "value", F.col("head.node").alias("a"), F.col("head.fp").alias("a_fp"))
-    led = staging.stage(_met(heads, as_b(_probes(rows, segments)), distance).select(*ordered).distinct(), "led")
+    as_a, as_b = ({"node": x, "fp": f"{x}_fp", "c": f"{x}_c"} for x in "ab")
+    own = _stored(rows).select("place", "node", "fp")
+    heads = own.groupBy("place").agg(F.min(F.struct("node", "fp")).alias("head")).select("place", F.col("head.node").alias("a"), F.col("head.fp").alias("a_fp"))
+    led = staging.stage(_met(heads, own.withColumnsRenamed(as_b), distance).select(*ordered).distinct(), "led")
     first = staging.stage(verified(led), "first-links")
     named = rows.join(components(first), "node", "left").withColumn("c", F.coalesce("label", "node")).drop("label")
-    several = named.groupBy("i", "m").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("i", "m")
-    open_ = staging.stage(named.join(several, ["i", "m"]), "open-tables")
-    stored = open_.withColumnsRenamed({"node": "a", "fp": "a_fp", "c": "a_c"})
-    across = _met(stored, as_b(_probes(open_, segments)), distance).filter("a_c <> c and a < b").select(*ordered).distinct()
+    several = named.groupBy("table").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("table")
+    open_ = staging.stage(named.join(several, "table"), "open-tables")
+    stored = _stored(open_).select("place", "node", "fp", "c").withColumnsRenamed(as_a)
+    asked = _probes(open_, segments).select("place", "node", "fp", "c").withColumnsRenamed(as_b)
+    across = _met(stored, asked, distance).filter("a_c <> b_c and a < b").select(*ordered).distinct()
     rest = staging.stage(across.join(led, ["u", "v"], "left_anti"), "across")
     return first.unionByName(verified(rest))
 
@@ -210,11 +252,15 @@ def one_per_component(docs: DataFrame, width: int = SIMILAR_WIDTH, least: float
     """One row of each group of similar texts, unchanged: that of the smallest ``doc_id``."""
     spark = docs.sparkSession
     staging.ship(spark)
-    got = staging.stage(sketches(docs, width, segments).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    first = F.min(F.struct(F.col("kept.doc_id").isNull().alias("no_id"), F.col("kept.doc_id").alias("id"), "row", "fp", "mins"))
+    folder = staging.new_path(spark, "similar-texts")
+    files.make_folder(folder)
+    got = staging.stage(sketches(docs, folder, width, segments), "sketches")
+    first = F.min(F.struct(F.col("kept.doc_id").isNull().alias("no_id"), F.col("kept.doc_id").alias("id"), "rid", F.coalesce("at", F.lit(0)).alias("at"), F.coalesce("packed", F.lit(-1)).alias("packed"), "fp", "mins"))
     classes = got.groupBy("set").agg(first.alias("k"))
-    classes = staging.stage(classes.select(F.struct("k.no_id", "k.id", "k.row").alias("k"), F.col("k.row").alias("node"), "k.fp", "k.mins"), "classes")
-    texts = got.select(F.col("row").alias("node"), F.col("kept.text").cast("string").alias("text"))
-    labels = components(similar_links(classes, lambda pairs: similar.verified(pairs, texts, least, width), distance, segments))
+    classes = staging.stage(classes.select(F.struct("k.no_id", "k.id", "k.rid").alias("k"), F.col("k.rid").alias("node"), "k.at", "k.packed", "k.fp", "k.mins"), "classes")
+    places = classes.select("node", "at", "packed")
+    labels = components(similar_links(classes.select("node", "fp", "mins"), lambda pairs: similar.verified(pairs, places, folder, least, width), distance, segments))
     chosen = classes.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("k").alias("k"))
-    return got.join(chosen.select(F.col("k.row").alias("row")), "row", "left_semi").select("kept.*")
+    left = got.select("kept", "rid", "at", "packed").join(chosen.select(F.col("k.rid").alias("rid")), "rid", "left_semi")
+    back = _with_texts(left, folder)
+    return back.select(*[F.col("text") if c == "text" else F.col("kept").getField(c).alias(c) for c in docs.columns])

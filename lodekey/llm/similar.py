@@ -1,7 +1,7 @@
 """Exact similarity of texts, as sets of hashes of their word shingles.
 
-Texts that some pair asks for are packed into archives once and read again by
-place, so a text is never sent with its pairs.
+Texts are read from archives by their place, so a text is never sent with its
+pairs.
 
 Defined results: null and blank texts have no shingle and are similar to each
 other only; texts of fewer words than a shingle are one shingle; an empty
@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodekey.llm import files, staging
+from lodekey.llm import files
+from lodekey.llm.archives import ROW_BITS, archive
 from lodekey.llm.shingles import shingle_hashes
 
 KEPT_BYTES = 8 << 20  # of sets that a task keeps while it compares
@@ -35,33 +36,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _archive(folder: str, task: int) -> str:
-    return f"{folder}/part-{task:06d}.texts"
-
-
-def _places(texts: DataFrame, folder: str) -> DataFrame:
-    """``node`` and its text's place, once written to ``folder``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-        from pyspark import TaskContext
-
-        task, at, pack = TaskContext.get().taskAttemptId(), 0, zstandard.ZstdCompressor(level=1)
-        with files.replacing(_archive(folder, task)) as out:
-            for b in batches:
-                place = []
-                for t in b.column(1):
-                    out.write(z := pack.compress((t.as_py() or "").encode()))
-                    place.append((at, len(z)))
-                    at += len(z)
-                start, size = zip(*place, strict=True) if place else ((), ())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([task] * b.num_rows, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64())], names=["node", "task", "at", "size"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, task long, at long, size long")
-
-
 class _Sets:
-    """Sets of texts by place, the last used ones kept."""
+    """Sets of texts by rid and place, the last used ones kept."""
 
     def __init__(self, folder: str, width: int, stack: contextlib.ExitStack):
         import zstandard
@@ -71,41 +47,36 @@ class _Sets:
         self.opened: dict = {}
         self.bytes = 0
 
-    def __call__(self, task: int, at: int, size: int) -> np.ndarray:
-        if (task, at) in self.kept:
-            self.kept.move_to_end((task, at))
-            return self.kept[task, at]
+    def __call__(self, rid: int, at: int, packed: int) -> np.ndarray:
+        if rid in self.kept:
+            self.kept.move_to_end(rid)
+            return self.kept[rid]
+        task = rid >> ROW_BITS
         if task not in self.opened:
             if len(self.opened) > 50:
                 self.stack.close()
                 self.opened.clear()
-            self.opened[task] = self.stack.enter_context(files.reading(_archive(self.folder, task)))
+            self.opened[task] = self.stack.enter_context(files.reading(archive(self.folder, task)))
         self.opened[task].seek(at)
-        made = shingles(self.unpack.decompress(self.opened[task].read(size)).decode(), self.width)
-        self.kept[task, at] = made
+        made = shingles(self.unpack.decompress(self.opened[task].read(packed)).decode(), self.width)
+        self.kept[rid] = made
         self.bytes += made.nbytes
         while self.bytes > KEPT_BYTES and len(self.kept) > 2:
             self.bytes -= self.kept.popitem(last=False)[1].nbytes
         return made
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
-    """Those of ``pairs`` (``u``, ``v``) whose sets are similar enough; ``texts`` has ``node`` and ``text``."""
-    spark = pairs.sparkSession
-    folder = staging.new_path(spark, "similar-texts")
-    files.make_folder(folder)
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    places = staging.stage(_places(texts.join(asked, "node", "left_semi"), folder), "places")
+def verified(pairs: DataFrame, places: DataFrame, folder: str, least: float, width: int) -> DataFrame:
+    """Those of ``pairs`` (``u``, ``v``) whose sets are similar enough; ``places`` has ``node``, ``at`` and ``packed``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with contextlib.ExitStack() as stack:
             read = _Sets(folder, width, stack)
             for b in batches:
-                columns = [b.column(i).to_pylist() for i in range(2, 8)]
-                same = [similarity(read(*r[:3]), read(*r[3:])) >= least for r in zip(*columns, strict=True)]
+                u, v, *where = (b.column(i).to_pylist() for i in range(6))
+                same = [similarity(read(x, *p[:2]), read(y, *p[2:])) >= least for x, y, *p in zip(u, v, *where, strict=True)]
                 yield b.select(["u", "v"]).filter(pa.array(same, pa.bool_()))
 
-    at = lambda x: places.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("task", "at", "size")])
-    where = [f"{x}_{c}" for x in "uv" for c in ("task", "at", "size")]
-    dealt = pairs.join(at("u"), "u").join(at("v"), "v").repartition("u", "v").sortWithinPartitions(*where)
-    return dealt.select("u", "v", *where).mapInArrow(run, "u long, v long")
+    at = lambda x: places.select(F.col("node").alias(x), F.col("at").alias(f"{x}_at"), F.col("packed").alias(f"{x}_packed"))
+    dealt = pairs.join(at("u"), "u").join(at("v"), "v").repartition("u", "v").sortWithinPartitions("u", "v")
+    return dealt.select("u", "v", "u_at", "u_packed", "v_at", "v_packed").mapInArrow(run, "u long, v long")

@@ -41,7 +41,6 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import contextlib
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -53,6 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodekey.llm import files, staging
+from lodekey.llm.archives import ROW_BITS, archive, by_archive, texts_at
 from lodekey.llm.rolling import mix, part_hashes, powers, prefix_sums
 
 LENGTH = 400
@@ -64,9 +64,9 @@ STRETCH = 1 << 18  # places searched at a time
 PORTION = 1 << 20  # bytes of short texts searched together
 WORD = 8  # bytes of a word's code
 _POSITION = 19  # bits of a place in a stretch and what its last strings reach
-# Packed numbers: rid is the task's and the row's; a spot is where an anchor
-# and its first and last strings begin, and whether its text holds the run again.
-_ROW_BITS, _REACH_BITS = 33, 10
+# A spot packs where an anchor and its first and last strings begin, and whether
+# its text holds the run again.
+_REACH_BITS = 10
 _REMEMBERED = 50_000  # texts of a task whose copies are not stored again
 
 _BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
@@ -249,7 +249,7 @@ def read_texts(docs: DataFrame, folder: str, keep: list[str], words: int = 0) ->
                     yield pa.RecordBatch.from_arrays(
                         [
                             b.column(0).slice(start, n),
-                            pa.array(np.arange(row, row + n) + (task << _ROW_BITS)),
+                            pa.array(np.arange(row, row + n) + (task << ROW_BITS)),
                             pa.array([p[0] for p in place], pa.int64()),
                             pa.array([p[1] for p in place], pa.int64()),
                             pa.array(sizes[start:stop], pa.int64()),
@@ -266,10 +266,6 @@ def read_texts(docs: DataFrame, folder: str, keep: list[str], words: int = 0) ->
     return chosen.mapInArrow(run, schema)
 
 
-def archive(folder: str, task: int) -> str:
-    return f"{folder}/part-{task:06d}.texts"
-
-
 def _portions(sizes: list[int], most: int = PORTION) -> Iterator[tuple[int, int]]:
     start, total = 0, 0
     for i, n in enumerate(sizes):
@@ -281,27 +277,6 @@ def _portions(sizes: list[int], most: int = PORTION) -> Iterator[tuple[int, int]
         yield start, len(sizes)
 
 
-def texts_at(folder: str, rows: Iterator[tuple[int, int, int]]) -> Iterator[bytes]:
-    """Texts by rid and place; each archive stays open while it is used."""
-    import zstandard
-
-    unpack, now = zstandard.ZstdDecompressor(), None
-    with contextlib.ExitStack() as stack:
-        for rid, at, packed in rows:
-            if rid >> _ROW_BITS != now:
-                stack.close()
-                now = rid >> _ROW_BITS
-                f = stack.enter_context(files.reading(archive(folder, now)))
-            f.seek(at)
-            yield unpack.decompress(f.read(packed))
-
-
-def _by_archive(df: DataFrame) -> DataFrame:
-    """Rows dealt to tasks by stretches of their archive, in its order."""
-    near = df.withColumns({"_task": F.shiftright("rid", _ROW_BITS), "_near": F.shiftright("at", 22)})
-    return near.repartition("_task", "_near").sortWithinPartitions("_task", "at").drop("_task", "_near")
-
-
 # ------------------------------------------------------------- the suffix sort
 
 
@@ -542,7 +517,7 @@ def _at_anchors(chosen: DataFrame, places: DataFrame, folder: str, schema: str,
             yield make()
 
     listed = chosen.groupBy("rid").agg(F.collect_list(F.struct("kh", "spot", "alone")).alias("found"))
-    return _by_archive(listed.join(places, "rid")).select("rid", "at", "packed", "found").mapInArrow(run, schema)
+    return by_archive(listed.join(places, "rid")).select("rid", "at", "packed", "found").mapInArrow(run, schema)
 
 
 def _surroundings(chosen: DataFrame, places: DataFrame, folder: str, words: int) -> DataFrame:
@@ -745,7 +720,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], text: bool = False, hot: in
                 arrays = [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True))[: len(made)], [pa.int64()] * 3 + [pa.string()] * 2, strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column("kept"), *arrays], names=["kept", *made.names])
 
-    chosen = _by_archive(found.filter(changed)).select("kept", "n_bytes", "sha", "copies", "own_first", "own_last", "spans", "rid", "at", "packed")
+    chosen = by_archive(found.filter(changed)).select("kept", "n_bytes", "sha", "copies", "own_first", "own_last", "spans", "rid", "at", "packed")
     out = chosen.mapInArrow(run, schema)
     if not text:
         whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
@@ -792,6 +767,6 @@ def remove_passages(docs: DataFrame, keep: list[str], words: int, hot: int = HOT
                     yield pa.RecordBatch.from_arrays([b.column("kept").slice(start, len(out)), pa.array(out, pa.string())], names=["kept", "left"])
                     out, size, start = [], 0, i + 1
 
-    chosen = _by_archive(found).select("kept", "copies", "own_first", "own_last", "spans", "rid", "at", "packed")
+    chosen = by_archive(found).select("kept", "copies", "own_first", "own_last", "spans", "rid", "at", "packed")
     out = chosen.mapInArrow(run, StructType([found.schema["kept"], StructField("left", StringType())]))
     return out.select(*(F.col("kept").getField(c).alias(c) for c in keep if c != "kept"), F.col("left").alias("kept"))
