@@ -1,15 +1,22 @@
 """Toxicity by a bidirectional gated recurrent network, trained in numpy.
 
 A word is a vector of its own (by a hash of the word) beside the mean vector
-of its four-byte grams, so unseen forms of a known stem are still known.
-Overlapping windows of words run through a gated recurrent layer in either
-direction; attention weights pool its states and a logistic unit scores the
-window.  A document's score is that of its highest window, and every window
-of the whole text is scored.
+of its four-byte grams, so unseen forms of a known stem are still known; words
+of over ``LONGEST`` bytes are several.  Windows of words, each overlapping the
+next by half, run through a gated recurrent layer in either direction;
+attention weights pool its states and a logistic unit scores the window.  A
+document's score is that of its highest window, and every window of the whole
+text is scored.
+
+All of the network is learned by gradient from small random numbers.  Vectors
+of words and grams that few training texts hold stay zero; how many is counted
+without their labels.  A document teaches its highest windows, several at
+first and later one.
 
 Training takes labelled rows up to ``MAX_TOXIC`` and ``MAX_CLEAN`` (the
 first by a hash of ``doc_id``; texts of up to ``MAX_TRAIN_BYTES``), never
-rows of the held-out fold.  The model has a fixed size and is broadcast.
+rows of the held-out fold.  It runs in one task, over that bounded sample.
+The model has a fixed size and is broadcast.
 
 Defined results: null, empty and wordless texts score 0;
 repeated rows get equal scores, up to rounding; a null ``doc_id`` is not held out;
@@ -20,6 +27,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,18 +38,23 @@ from pyspark.sql import functions as F
 from lodekey.llm import staging
 from lodekey.llm.rolling import mix, powers, prefix_sums
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
+LONGEST = 24  # bytes of a word
 HIDDEN, EMBED = 8, 8
 BUCKETS = 1 << 16
 GRAM = 4
 THRESHOLD = 0.3
 MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_BYTES = 1000, 2000, 20_000
 FOLDS, HELD_OUT = 4, 2
-EPOCHS, BATCH_DOCS, RATE, TABLE_RATE, TOXIC_WEIGHT = 4, 64, 0.02, 0.002, 2.0
+EPOCHS, BATCH_DOCS, RATE, TABLE_RATE, TOXIC_WEIGHT = 8, 64, 0.02, 0.01, 3.0
+LEAST_TEXTS = 8  # that hold a word or gram with a vector; less where rows are few
+AT_FIRST = 4  # windows of a document that teach in the first half
 
 TABLES = ("words", "grams")
 
 _WORD_BYTE = np.array([48 <= b < 58 or 97 <= b < 123 or b >= 128 for b in range(256)])
+
+
 class Words:
     """Bucket numbers of the words of many texts, and of the words' grams."""
 
@@ -53,12 +66,16 @@ class Words:
         if is_word[0]:
             edge = np.r_[0, edge]
         start, end = edge[::2], edge[1::2]
+        pieces = -(-(end - start) // LONGEST)
+        whole_end, nth = np.repeat(end, pieces), np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = np.repeat(start, pieces) + nth * LONGEST
+        end = np.minimum(start + LONGEST, whole_end)
         down, total = powers(len(data))[1], prefix_sums(data)
         self.word = self._bucket((total[end] - total[start]) * down[start])
         wide = data.astype(np.uint32)
         at = np.flatnonzero(is_word[:-3] & is_word[1:-2] & is_word[2:-1] & is_word[3:])
         self.gram = self._bucket((wide[at] | wide[at + 1] << np.uint32(8) | wide[at + 2] << np.uint32(16) | wide[at + 3] << np.uint32(24)).astype(np.uint64))
-        self.grams = np.maximum(end - start - (GRAM - 1), 0)  # of each word, one after the other
+        self.grams = np.maximum(np.minimum(end, whole_end - (GRAM - 1)) - start, 0)  # that begin in each word, one after the other
         bounds = np.cumsum([0] + [len(r) + 1 for r in raw])
         self.first = np.searchsorted(start, bounds)  # word of each text, then the number of words
 
@@ -87,8 +104,8 @@ class Network:
         r, h, e = np.random.default_rng(seed), HIDDEN, 2 * EMBED
         f = lambda *shape, scale: (r.standard_normal(shape) * scale).astype(np.float32)
         self.p = {
-            "words": np.zeros((BUCKETS, EMBED), np.float32),
-            "grams": np.zeros((BUCKETS, EMBED), np.float32),
+            "words": f(BUCKETS, EMBED, scale=0.1),
+            "grams": f(BUCKETS, EMBED, scale=0.1),
             "input": f(e, 6 * h, scale=0.4),  # both directions' gates side by side
             "bias": np.zeros(6 * h, np.float32),
             "state": f(2, h, 3 * h, scale=0.3),
@@ -178,41 +195,63 @@ class Network:
         np.add.at(g["grams"], w.gram, np.repeat(each, w.grams, axis=0))
         return g
 
-    def begin(self, w: Words, toxic: np.ndarray) -> None:
-        """Starts vectors from the buckets that are in more toxic texts than chance puts there."""
-        text = np.repeat(np.arange(len(toxic)), np.diff(w.first))
+    def begin(self, w: Words, least: int) -> dict[str, np.ndarray]:
+        """Sets vectors of buckets that under ``least`` texts hold to zero; returns which may learn."""
+        text, learns = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first)), {}
         for name, bucket, of in (("words", w.word, text), ("grams", w.gram, np.repeat(text, w.grams))):
             pairs = np.unique(of * BUCKETS + bucket)
-            bad = toxic[pairs // BUCKETS]
-            n1 = np.bincount(pairs[bad] % BUCKETS, minlength=BUCKETS)
-            n0 = np.bincount(pairs[~bad] % BUCKETS, minlength=BUCKETS)
-            share = toxic.mean()
-            z = (n1 - share * (n1 + n0)) / np.sqrt(share * (1 - share) * np.maximum(n1 + n0, 1))
-            self.p[name][:, 0] = np.where((z > 4) & (n1 >= 4), np.minimum(z, 12) / 4, 0)
-
-    def scores(self, texts: list[str], batch: int = 1024) -> np.ndarray:
+            learns[name] = (np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= least).astype(np.float32)[:, None]
+            self.p[name] *= learns[name]
+        return learns
+
+    def logits(self, gates: np.ndarray, at: np.ndarray, batch: int = 1024) -> np.ndarray:
+        return np.concatenate([self.forward(gates, at[i : i + batch]) for i in range(0, len(at), batch)])
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **self.p)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Network:
+        self = cls.__new__(cls)
+        with np.load(io.BytesIO(raw)) as got:
+            self.p = {k: got[k] for k in got.files}
+        return self
+
+    def scores(self, texts: list[str]) -> np.ndarray:
         """Probability of each text: that of its highest window."""
         out = np.full(len(texts), -np.inf)
         w = Words(texts)
         gates = self.gates(self.inputs(w))
         at, text = w.windows()
-        logit = np.concatenate([self.forward(gates, at[i : i + batch]) for i in range(0, len(at), batch)])
-        np.maximum.at(out, text, logit)
+        np.maximum.at(out, text, self.logits(gates, at))
         out[np.diff(w.first) == 0] = -30
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
+def _highest(logit: np.ndarray, text: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` highest windows of each text, by text."""
+    order = np.lexsort((-logit, text))
+    t = text[order]
+    first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    nth = np.arange(len(t)) - np.repeat(first, np.diff(np.r_[first, len(t)]))
+    return order[nth < most]
+
+
 def train(texts: list[str], toxic: list[int], seed: int = 7) -> Network | None:
     """A network fitted to labelled texts; None unless both kinds are there."""
     label = np.array(toxic, bool)
     if label.all() or not label.any():
         return None
     net, order = Network(seed), np.random.default_rng(seed)
-    net.begin(Words(texts), label)
+    learns = net.begin(Words(texts), min(LEAST_TEXTS, max(2, len(texts) // 100)))
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
-    step, epochs = 0, max(EPOCHS, -(-100 * BATCH_DOCS // len(texts)))  # few rows: more rounds
-    for _ in range(min(epochs, 40)):
+    steps = -(-len(texts) // BATCH_DOCS)
+    epochs = min(40, max(EPOCHS, -(-100 // steps)))  # few rows: more rounds
+    step = 0
+    for epoch in range(epochs):
         shuffled = order.permutation(len(texts))
         for i in range(0, len(texts), BATCH_DOCS):
             chosen = shuffled[i : i + BATCH_DOCS]
@@ -220,16 +259,23 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Network | None:
             at, text = w.windows()
             x = net.inputs(w)
             gates = net.gates(x)
-            logit = net.forward(gates, at)
-            best = np.lexsort((logit, text))[np.r_[text[1:] != text[:-1], True].nonzero()[0]]  # highest window of each text
+            best = _highest(net.logits(gates, at), text, AT_FIRST if 2 * epoch < epochs else 1)
+            text = text[best]
             logit, kept = net.forward(gates, at[best], keep=True)
-            y = label[chosen].astype(np.float32)
-            d = ((_sigmoid(logit) - y) * np.where(y > 0, TOXIC_WEIGHT, 1) / len(chosen)).astype(np.float32)
+            y = label[chosen].astype(np.float32)[text]
+            first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+            likely = np.exp(logit - np.maximum.reduceat(logit, first)[text])
+            # a toxic text's windows count by how likely they are the toxic ones, a clean one's alike
+            weight = np.where(y > 0, TOXIC_WEIGHT * likely / np.bincount(text, likely)[text], 1 / np.bincount(text)[text])
+            d = ((_sigmoid(logit) - y) * weight / len(chosen)).astype(np.float32)
             step += 1
+            left = 1 - step / (steps * epochs + 1)
             for k, g in net.backward(w, x, kept, d).items():
+                if k in learns:
+                    g *= learns[k]
                 mean[k] += 0.1 * (g - mean[k])
                 square[k] += 0.01 * (g * g - square[k])
-                net.p[k] -= ((TABLE_RATE if k in TABLES else RATE) / (1 - 0.9**step)) * mean[k] / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
+                net.p[k] -= (left * (TABLE_RATE if k in TABLES else RATE) / (1 - 0.9**step)) * mean[k] / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
     return net
 
 
@@ -246,8 +292,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.filter("toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(known.filter("toxic = 0").orderBy(*order).limit(MAX_CLEAN))
     texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(picked), "doc_id")  # at most MAX_TOXIC + MAX_CLEAN rows
-    rows = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in texts.collect()})[: MAX_TOXIC + MAX_CLEAN]
-    return train([r[1] for r in rows], [r[2] for r in rows]) if rows else None
+    staging.ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted({r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)})
+        net = train([r[1] for r in rows], [r[2] for r in rows]) if rows else None
+        if net is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([net.to_bytes()], pa.binary())], names=["net"])
+
+    # of rows repeated under one id one counts, so the sample is bounded whatever the table holds
+    one = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    got = one.select("doc_id", "text", "toxic").coalesce(1).mapInArrow(run, "net binary").collect()  # a model of fixed size
+    return Network.from_bytes(bytes(got[0]["net"])) if got else None
 
 
 def score_documents(docs: DataFrame, net: Network | None, keep: list[str] | None = None) -> DataFrame:
