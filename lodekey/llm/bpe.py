@@ -35,6 +35,8 @@ ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 _LETTERS = "A-Za-zàâäçéèêëîïôöùûüÿñáíóúßÀÂÄÇÉÈÊËÎÏÔÖÙÛÜŸÑÁÍÓÚ"
 _ODD = re.compile(rf"[^\n -~{_LETTERS}]")
+# Fixed value: the pattern that _PIECE stands for on texts of those characters only.
+KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")  # the vocabulary's pattern on those characters
 
 
@@ -154,6 +156,7 @@ class Encoder:
         with open(path, "rb") as f:
             self.pairs = BytePairs({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
         self.pattern = regex.compile(pattern)
+        self.quick = _PIECE if pattern == KNOWN_PATTERN else self.pattern
         self.pieces = PieceCache(self._encode, most)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
@@ -162,7 +165,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [(self.pattern if _ODD.search(t) else _PIECE).findall(t) for t in texts]
+        split = [(self.pattern if _ODD.search(t) else self.quick).findall(t) for t in texts]
         self.pieces.learn(set().union(*split))
         get = self.pieces.__getitem__
         return [b"".join(map(get, s)) for s in split]

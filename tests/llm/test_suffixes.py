@@ -161,3 +161,42 @@ def test_collisions_are_told_apart():
     data = np.frombuffer(b"aaaabbbbaaaacccc", np.uint8)
     same = np.zeros(4, np.int64)
     assert sx._again(data, [same], np.array([0, 4, 8, 12]), np.full(4, 4)).tolist() == [True, False, True, False]
+
+
+def test_long_texts_in_stretches(monkeypatch):
+    r = random.Random(9)
+    part = bytes(r.randrange(97, 123) for _ in range(3000))
+    texts = [part, b"q" * 2500 + part[700:2400] + b"ab" * 900 + part[:1900], b"short", b"", part[100:]]
+    whole = sx.find_anchors(texts)
+    for stretch in (300, 777, 4096):
+        monkeypatch.setattr(sx, "STRETCH", stretch)
+        got = sx.find_anchors(texts)
+        assert [a.tolist() for a in got] == [a.tolist() for a in whole]
+    assert whole[1].size  # strings that one text holds twice
+
+
+def test_memory_for_a_long_text():
+    import tracemalloc
+
+    text = np.random.default_rng(1).integers(97, 123, 6 << 20, np.uint8).tobytes()
+    sx.find_anchors([text[:500_000]])
+    tracemalloc.start()
+    found, _ = sx.find_anchors([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.shape[1] > 30_000
+    assert peak < 80 << 20
+    periodic, own = sx.find_anchors([b"abc" * (1 << 19)])
+    assert periodic.shape[1] <= 12  # equal runs of one text are one
+    assert own[1, 0] == 0
+    assert own[2, -1] == 3 * (1 << 19) - 400
+
+
+def test_an_anchor_in_over_a_thousand_places(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    passage = " ".join(word() for _ in range(75))
+    texts = [" ".join([*(word() for _ in range(4)), passage, *(word() for _ in range(4))]) for _ in range(1100)]
+    want = plain([t.encode() for t in texts])
+    got = {x.doc_id: x for x in sx.remove_repeats(documents(spark, texts), ["doc_id"]).collect()}
+    assert [(got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(texts))] == want
