@@ -161,8 +161,9 @@ def _find_cuts(rows: DataFrame, nodes: list[Node], targets: dict[int, float], ex
 def cut_table(meta: DataFrame, shards: int = SHARDS, target_bytes: int | None = None) -> tuple[Node, DataFrame]:
     """The tree, and the rows of ``meta`` with their leaf as ``node``.
 
-    Rows are written once; after that each level adds an expression that
-    moves them to their new node, and rounds read the columns they need.
+    After each level the rows are written with their new node, so that the
+    rounds of the next level read columns only: expressions of one level inside
+    those of the next would grow with a power of the depth.
     """
     rows = staging.stage(meta, "shard-rows")
     names = (*DIMENSIONS, *TIES)
@@ -171,7 +172,7 @@ def cut_table(meta: DataFrame, shards: int = SHARDS, target_bytes: int | None =
         shards = max(1, -(-(r["size"] or 0) // target_bytes))
     extents = {d: (r[f"lo_{d}"] or 0, r[f"hi_{d}"] or 0) for d in names}
     root = Node(0, shards)
-    rows = rows.withColumn("node", F.lit(root.first))
+    rows = rows.withColumn("node", F.lit(root.first))  # a constant until the first cut
     level = [root] if shards > 1 else []
     while level:
         aggs = [F.sum("size").alias("w"), F.count("*").alias("n")]
@@ -191,7 +192,7 @@ def cut_table(meta: DataFrame, shards: int = SHARDS, target_bytes: int | None =
             half = n.shards // 2
             n.children = [Node(n.first, half), Node(n.first + half, n.shards - half)]
             level += [c for c in n.children if c.shards > 1]
-        rows = _step(rows, live)
+        rows = staging.stage(_step(rows, live), "shard-rows")
     return root, rows
 
 

@@ -29,6 +29,28 @@ def test_stages(spark):
     assert {r.doc_id for r in packed} == set(before)
 
 
+def test_odd_rows(spark):
+    import corpus_pipeline as cp
+    from helpers import ODD, documents
+
+    texts = [*ODD, *ODD, " ".join(f"w{i}" for i in range(30_000)), None]
+    docs = documents(spark, texts, ids=[*range(len(texts) - 1), None])
+    kept = []
+    for name, stage in cp.STAGES[:-1]:
+        docs = cp.staging.stage(stage(spark, docs, SF), name)
+        assert docs.columns == cp.COLUMNS
+        kept.append(sorted((r.doc_id, r.text or "") for r in docs.filter("doc_id is not null").collect()))
+    assert [i for i, _ in kept[0]] == list(range(len(texts) - 1))
+    distinct = {}
+    for i, t in enumerate(texts[:-1]):
+        distinct.setdefault(tuple((t or "").lower().split()), i)
+    assert [i for i, _ in kept[1]] == sorted(distinct.values())
+    assert [i for i, _ in kept[2]] == [i for i, _ in kept[1]]
+    assert {r.doc_id for r in cp.STAGES[-1][1](spark, docs, SF).collect()} == set(distinct.values())
+    for _, stage in cp.STAGES:
+        assert stage(spark, documents(spark, []), SF).collect() == []
+
+
 def test_run(spark):
     import corpus_pipeline as cp
 
