@@ -2,6 +2,13 @@
 
 Each stage works on all that the one before kept, as read back from Parquet;
 all but the last return the columns of ``documents``.
+
+Defined results: null, empty and blank texts aren't toxic and are near
+duplicates of each other, so one of them stays, and from the third stage on
+its text is not null; repeated rows are near duplicates too, and of equal
+``doc_id`` the first row stays; a null ``doc_id`` stays only if none of its
+group has one; very long texts are worked on whole; extra columns are dropped;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
