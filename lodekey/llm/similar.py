@@ -78,5 +78,6 @@ def verified(pairs: DataFrame, places: DataFrame, folder: str, least: float, wid
                 yield b.select(["u", "v"]).filter(pa.array(same, pa.bool_()))
 
     at = lambda x: places.select(F.col("node").alias(x), F.col("at").alias(f"{x}_at"), F.col("packed").alias(f"{x}_packed"))
-    dealt = pairs.join(at("u"), "u").join(at("v"), "v").repartition("u", "v").sortWithinPartitions("u", "v")
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a count: pairs are small, but costly to compare, so few tasks won't do
+    dealt = pairs.join(at("u"), "u").join(at("v"), "v").repartition(n, "u", "v").sortWithinPartitions("u", "v")
     return dealt.select("u", "v", "u_at", "u_packed", "v_at", "v_packed").mapInArrow(run, "u long, v long")
