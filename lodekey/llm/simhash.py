@@ -14,7 +14,8 @@ balls reach.  ``one_per_component`` joins them by the same tables with more
 segments of few bits, balls of radius one, and a wider complete distance; as
 so short segments are alike by chance, a table's place is a segment's value
 together with the least of the text's shingles in two orders of the table's
-own.  What it finds is compared by whole shingle sets.
+own.  What it finds is compared by whole shingle sets; across components only
+pairs whose sets can be similar enough, by the rarest shingles that they share.
 
 By calculation, two texts with a Jaccard similarity of 0.8 share both least
 shingles of a table with a chance of 0.64 and differ in 15 % of their bits, so
@@ -209,12 +210,6 @@ def _stored(rows: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.xxhash64("table", "value"))
 
 
-def _probes(rows: DataFrame, segments: int) -> DataFrame:
-    """Rows at all places in the ball round their own."""
-    balls = F.array(*[F.lit(_ball(bits, 1)).cast("array<bigint>") for _, bits in _segments(segments)])
-    return rows.withColumn("mask", F.explode(balls[F.col("i")])).withColumn("place", F.xxhash64("table", F.col("value").bitwiseXOR(F.col("mask"))))
-
-
 def _met(stored: DataFrame, asked: DataFrame, distance: int) -> DataFrame:
     """Pairs ``a``, ``b`` of one table place within ``distance`` bits."""
     near = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= distance
@@ -222,30 +217,87 @@ def _met(stored: DataFrame, asked: DataFrame, distance: int) -> DataFrame:
     return hashed(stored).join(hashed(asked), ["place", "h"]).filter(near & (F.col("a") != F.col("b")))
 
 
-def similar_links(classes: DataFrame, verified: Callable[[DataFrame], DataFrame], distance: int, segments: int) -> DataFrame:
+def _rarest(sets: DataFrame, least: float) -> DataFrame:
+    """Each set's rarest shingles ``t``, so many that two similar sets of different components share one.
+
+    ``sets`` has ``node``, its component ``c``, ``size`` and ``set``.  All sets
+    have one order: shingles of one component first, as no pair across
+    components shares them, then by the number of sets that hold them.  A
+    similar set shares ``least`` of the set's shingles at least, so one of them
+    is among the first of the others and one more.  ``room`` is how many
+    shingles there are from ``t`` on.
+    """
+    each = sets.select("node", "c", F.explode("set").alias("t"))
+    shared = each.groupBy("t").agg(F.count("*").alias("n"), F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("t", "n")
+    dealt = lambda d: d.withColumn("h", F.hash("t"))
+    held = dealt(each).join(dealt(shared), ["t", "h"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("held"))
+    asked = F.col("size") - F.ceil(F.col("size") * least - 1e-6) + 1 - (F.col("size") - F.size("held"))
+    first = sets.select("node", "c", "size").join(held, "node").withColumn("asked", asked.cast("int")).filter("asked > 0")
+    each = first.select("node", "c", "size", F.size("held").alias("room"), F.posexplode(F.slice("held", F.lit(1), F.col("asked"))).alias("at", "s"))
+    return each.select("node", "c", "size", F.col("s.t").alias("t"), (F.col("room") - F.col("at")).alias("room"))
+
+
+def _near(asked: DataFrame, rows: DataFrame, least: float, distance: int, segments: int) -> DataFrame:
+    """Pairs ``u`` < ``v`` of one ``t`` and different components that meet in a table and can be similar enough.
+
+    They meet if they are within ``distance`` bits, and have the least shingles
+    of a table in common and its segment in each other's ball.  If ``t`` is the
+    rarest shingle that two sets share, they share no more than either has room
+    for.
+    """
+    hashed = lambda d: d.withColumn("h", F.hash("t"))
+    named = lambda d, x: hashed(d).select("t", "h", *[F.col(k).alias(f"{x}_{k}") for k in ("c", "size", "room", "fp", "mins")], F.col("node").alias(x))
+    bits, meet = F.col("a_fp").bitwiseXOR(F.col("b_fp")), F.lit(False)
+    for i, (at, width) in enumerate(_segments(segments)):
+        ball = F.bit_count(F.shiftrightunsigned(bits, at).bitwiseAND(F.lit((1 << width) - 1))) <= 1
+        meet = meet | (ball & (F.col("a_mins")[i] == F.col("b_mins")[i]))
+    room = F.least("a_room", "b_room") >= (F.col("a_size") + F.col("b_size")) * (least / (1 + least)) - 1e-6
+    found = named(asked, "a").join(named(rows, "b"), ["t", "h"]).filter((F.col("a_c") != F.col("b_c")) & room & (F.bit_count(bits) <= distance) & meet)
+    return found.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def _central(rows: DataFrame) -> DataFrame:
+    """Of each ``t`` the row with the fewest rarer shingles for its size."""
+    head = F.max(F.struct(F.col("room") / F.col("size"), "node", "c", "size", "room", "fp", "mins")).alias("head")
+    return rows.groupBy("t").agg(head).select("t", *[f"head.{c}" for c in ("node", "c", "size", "room", "fp", "mins")])
+
+
+def _minor(rows: DataFrame) -> DataFrame:
+    """Rows that aren't of the largest component of their ``t``."""
+    counts = rows.groupBy("t", "c").agg(F.count("*").alias("n")).groupBy("t").agg(F.max(F.struct("n", "c")).alias("main"), F.count("*").alias("m"))
+    hashed = lambda d: d.withColumn("h", F.hash("t"))
+    return hashed(rows).join(hashed(counts.filter("m > 1").select("t", F.col("main.c").alias("main"))), ["t", "h"]).filter("c <> main").drop("main", "h")
+
+
+def similar_links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], least: float, distance: int, segments: int) -> DataFrame:
     """Links that join all classes that some chain of similar pairs joins.
 
-    ``classes`` has ``node``, ``fp`` and ``mins``; ``verified`` keeps the pairs
+    ``classes`` has ``node``, ``fp`` and ``mins``; ``sets`` gives ``size`` and
+    ``set``, the shingles, of each ``node``; ``verified`` keeps the pairs
     ``u`` < ``v`` that are similar.  First each class is compared with the
     first of every place that it is stored at.  What these links join needs no
-    further pair, so then balls are looked up for pairs across components
-    only, and all of those are compared.
+    further pair, so from then on pairs across components only are looked up,
+    by the rarest shingles that similar sets share: first with one text of
+    each shingle, then all that are left, where the largest component of a
+    shingle is looked up by the others only.
     """
     rows = staging.stage(_tables(classes, segments), "tables")
     ordered = [F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")]
-    as_a, as_b = ({"node": x, "fp": f"{x}_fp", "c": f"{x}_c"} for x in "ab")
     own = _stored(rows).select("place", "node", "fp")
     heads = own.groupBy("place").agg(F.min(F.struct("node", "fp")).alias("head")).select("place", F.col("head.node").alias("a"), F.col("head.fp").alias("a_fp"))
-    led = staging.stage(_met(heads, own.withColumnsRenamed(as_b), distance).select(*ordered).distinct(), "led")
+    led = staging.stage(_met(heads, own.withColumnsRenamed({"node": "b", "fp": "b_fp"}), distance).select(*ordered).distinct(), "led")
     first = staging.stage(verified(led), "first-links")
-    named = rows.join(components(first), "node", "left").withColumn("c", F.coalesce("label", "node")).drop("label")
+    named = rows.select("node", "table").join(components(first), "node", "left").withColumn("c", F.coalesce("label", "node")).drop("label")
     several = named.groupBy("table").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("table")
-    open_ = staging.stage(named.join(several, "table"), "open-tables")
-    stored = _stored(open_).select("place", "node", "fp", "c").withColumnsRenamed(as_a)
-    asked = _probes(open_, segments).select("place", "node", "fp", "c").withColumnsRenamed(as_b)
-    across = _met(stored, asked, distance).filter("a_c <> b_c and a < b").select(*ordered).distinct()
-    rest = staging.stage(across.join(led, ["u", "v"], "left_anti"), "across")
-    return first.unionByName(verified(rest))
+    open_ = staging.stage(named.join(several, "table").select("node", "c").distinct(), "open")
+    whole = staging.stage(sets(open_.select("node")).join(open_, "node"), "open-sets")
+    rows = staging.stage(_rarest(whole, least).join(classes.select("node", "fp", "mins"), "node"), "rarest")
+    near = lambda asked: staging.stage(_near(asked, rows, least, distance, segments).join(led, ["u", "v"], "left_anti"), "near")
+    second = staging.stage(verified(near(_central(rows))), "second-links")
+    of = lambda x: open_.select(F.col("node").alias(x), F.col("c").alias(f"{x}_c"))
+    joined = components(second.join(of("u"), "u").join(of("v"), "v").select(F.col("u_c").alias("u"), F.col("v_c").alias("v")))
+    rows = staging.stage(rows.join(joined, rows.c == joined.node, "left").select(rows.node, F.coalesce("label", "c").alias("c"), "size", "t", "room", "fp", "mins"), "rarest")
+    return first.unionByName(second).unionByName(verified(near(_minor(rows))))
 
 
 def one_per_component(docs: DataFrame, width: int = SIMILAR_WIDTH, least: float = SIMILAR, distance: int = SIMILAR_DISTANCE, segments: int = SIMILAR_SEGMENTS) -> DataFrame:
@@ -259,7 +311,7 @@ def one_per_component(docs: DataFrame, width: int = SIMILAR_WIDTH, least: float
     classes = got.groupBy("set").agg(first.alias("k"))
     classes = staging.stage(classes.select(F.struct("k.no_id", "k.id", "k.rid").alias("k"), F.col("k.rid").alias("node"), "k.at", "k.packed", "k.fp", "k.mins"), "classes")
     places = classes.select("node", "at", "packed")
-    labels = components(similar_links(classes.select("node", "fp", "mins"), lambda pairs: similar.verified(pairs, places, folder, least, width), distance, segments))
+    labels = components(similar_links(classes.select("node", "fp", "mins"), lambda nodes: similar.sets(nodes, places, folder, width), lambda pairs: similar.verified(pairs, places, folder, least, width), least, distance, segments))
     chosen = classes.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("k").alias("k"))
     left = got.select("kept", "rid", "at", "packed").join(chosen.select(F.col("k.rid").alias("rid")), "rid", "left_semi")
     back = _with_texts(left, folder)

@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodekey.llm import files
-from lodekey.llm.archives import ROW_BITS, archive
+from lodekey.llm.archives import ROW_BITS, archive, by_archive, texts_at
 from lodekey.llm.shingles import shingle_hashes
 
 KEPT_BYTES = 8 << 20  # of sets that a task keeps while it compares
+SENT_BYTES = 1 << 20  # of sets in a batch
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -66,6 +67,26 @@ class _Sets:
         return made
 
 
+def sets(nodes: DataFrame, places: DataFrame, folder: str, width: int) -> DataFrame:
+    """``node``, ``size`` and ``set`` of the texts of ``nodes``; ``places`` as for ``verified``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places = zip(*(b.column(c).to_pylist() for c in ("rid", "at", "packed")), strict=True)
+            out, start, size = [], 0, 0
+            for i, t in enumerate(texts_at(folder, places)):
+                out.append(shingles(t.decode(), width).view(np.int64))
+                size += out[-1].nbytes
+                if size > SENT_BYTES or i + 1 == b.num_rows:
+                    bounds = np.cumsum([0, *map(len, out)]).astype(np.int32)
+                    listed = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(out)))
+                    yield pa.RecordBatch.from_arrays([b.column("rid").slice(start, len(out)), pa.array(np.diff(bounds)), listed], names=["node", "size", "set"])
+                    out, start, size = [], i + 1, 0
+
+    found = nodes.join(places.filter("packed >= 0"), "node").withColumnRenamed("node", "rid")  # null texts have no shingle
+    return by_archive(found).select("rid", "at", "packed").mapInArrow(run, "node long, size int, set array<long>")
+
+
 def verified(pairs: DataFrame, places: DataFrame, folder: str, least: float, width: int) -> DataFrame:
     """Those of ``pairs`` (``u``, ``v``) whose sets are similar enough; ``places`` has ``node``, ``at`` and ``packed``."""
 
