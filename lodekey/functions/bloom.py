@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import xxhash
@@ -24,6 +25,12 @@ def layer_shape(capacity: int, error: float) -> tuple[int, int]:
     return bits, max(1, round(bits / capacity * math.log(2)))
 
 
+def _digests(keys: Iterable[bytes]) -> np.ndarray:
+    """The two halves of each key's hash, the lower first."""
+    raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), ">u8").reshape(-1, 2)
+    return raw[:, ::-1].astype(np.uint64)
+
+
 class LayeredBloom:
     def __init__(self, initial: int = 1024, error: float = 0.01, most_bytes: int = 1 << 20):
         self.initial, self.error, self.most_bytes = initial, error, most_bytes
@@ -67,6 +74,44 @@ class LayeredBloom:
         self.counts[-1] += 1
         return ADDED
 
+    def _many_bits(self, digests: np.ndarray, i: int) -> np.ndarray:
+        """``_bits`` of many keys, a row each; halves are reduced first, as their sums exceed 64 bits."""
+        _, bits, hashes = self._shape(i)
+        a, b = digests[:, :1] % np.uint64(bits), (digests[:, 1:] | np.uint64(1)) % np.uint64(bits)
+        return ((a + np.arange(hashes, dtype=np.uint64) * b) % np.uint64(bits)).astype(np.int64)
+
+    def _hold(self, digests: np.ndarray) -> np.ndarray:
+        held = np.zeros(len(digests), bool)
+        for i, layer in enumerate(self.layers):
+            at = self._many_bits(digests, i)
+            held |= (layer[at >> 3] >> (at & 7) & 1).all(axis=1)
+        return held
+
+    def hold(self, keys: Iterable[bytes]) -> np.ndarray:
+        """Whether it has each of many keys."""
+        return self._hold(_digests(keys))
+
+    def add_all(self, keys: Iterable[bytes]) -> tuple[int, int]:
+        """Adds many keys: how many were new, and how many found the filter full."""
+        added, left = 0, np.unique(_digests(keys), axis=0)
+        while len(left := left[~self._hold(left)]):
+            if self.counts[-1] >= self._shape(len(self.layers) - 1)[0] and not self._grow():
+                break
+            some, left = np.split(left, [self._shape(len(self.layers) - 1)[0] - self.counts[-1]])
+            at = self._many_bits(some, len(self.layers) - 1)
+            np.bitwise_or.at(self.layers[-1], at >> 3, (1 << (at & 7)).astype(np.uint8))
+            self.counts[-1] += len(some)
+            added += len(some)
+        return added, len(left)
+
+    @property
+    def most_keys(self) -> int:
+        """How many keys all layers that fit can take."""
+        n, i, left = 0, 0, self.most_bytes
+        while (left := left - -(-self._shape(i)[1] // 8)) >= 0:
+            n, i = n + self._shape(i)[0], i + 1
+        return n
+
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, head=np.array([self.initial, self.most_bytes]), error=np.array([self.error]), counts=np.array(self.counts), **{f"l{i}": x for i, x in enumerate(self.layers)})

@@ -174,3 +174,24 @@ def test_bloom():
     assert all(k in again for k in made)
     small = LayeredBloom(4, 0.01, 300)
     assert FULL in {small.add(f"k{i}".encode()) for i in range(2000)}
+
+
+def test_many_keys_at_once():
+    """As one by one: the same bits are asked, none is lost, and what doesn't fit is counted."""
+    made = [f"k{i}".encode() for i in range(500)]
+    other = [f"x{i}".encode() for i in range(2000)]
+    one, many = LayeredBloom(64, 0.01, 500_000), LayeredBloom(64, 0.01, 500_000)
+    for k in made:
+        one.add(k)
+    assert one.hold(made + other).tolist() == [k in one for k in made + other]
+    added, refused = many.add_all(made + made)
+    assert (added, refused) == (sum(many.counts), 0)
+    assert added >= 490
+    assert many.hold(made).all()
+    assert all(k in many for k in made)
+    assert many.hold(other).sum() < 60
+    assert many.add_all(made) == (0, 0)
+    small = LayeredBloom(4, 0.01, 300)
+    added, refused = small.add_all(other)
+    assert added == small.most_keys == sum(small.counts)
+    assert 0 < refused <= len(other) - added

@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodekey.functions import keys
+from lodekey import catalogue_more
+from lodekey.functions import keys, learned
+from lodekey.functions.bloom import LayeredBloom
 from lodekey.operators import oplog, points, stats, topology, transactions
 from lodekey.operators.query import SubQuery, query_items
 from lodekey.plans.conditions import ITEM_NOT_EXISTS, attribute_equals, evaluate
@@ -466,3 +468,30 @@ def test_votes_are_counted_once(spark):
     assert after(cast("transient_error", 3)) == {"p0": "yes", "p1": None}
     assert after(cast("transient_error", coordinator.MOST_ATTEMPTS)) == {"p0": "yes", "p1": "transient_error"}
     assert after(cast("yes", 1)) == {"p0": "yes", "p1": "yes"}
+
+
+@pytest.mark.parametrize(("customers", "nulls"), [(300_000, 0), (40, 3), (0, 0)])
+def test_all_keys_are_learned(spark, tmp_path, customers, nulls):
+    """More keys than a hint holds (261,120), orders of no customer, and none at all; against the query's SQL."""
+    number = F.when(F.col("id") < customers, F.col("id"))
+    o = spark.range(customers + nulls).select(F.col("id").alias("o_orderkey"), number.alias("o_custkey"), F.lit("2-HIGH").alias("o_orderpriority"))
+    o.withColumn("o_orderdate", F.to_timestamp(F.lit("1995-01-01"))).write.parquet(str(tmp_path / "orders.parquet"))
+    assert [tuple(r) for r in catalogue_more.j3_learned_keys(spark, str(tmp_path)).collect()] == [(True, True, customers)]
+
+
+def test_hints_of_shares(spark):
+    """Each hint keeps to its bytes, none lacks a key; null is never held, equal rows are kept."""
+    hints = learned.DealtKeys.learn(spark.range(3000).select(keys.encode_text(F.col("id").cast("string")).alias("hk")), 2000)
+    stored = hints.stored()
+    assert stored.shares > 1
+    raw = [LayeredBloom.from_bytes(bytes(r["_hint"])) for r in stored.hints.collect()]
+    assert len(raw) == stored.shares
+    assert all(sum(map(len, b.layers)) <= 2000 for b in raw)
+    assert stored.count() == sum(sum(b.counts) for b in raw) > 2900
+    asked = spark.range(6000).withColumn("k", keys.encode_text(F.col("id").cast("string")))
+    asked = asked.unionByName(spark.sql("select id, binary(null) k from range(6000, 6010)")).unionByName(asked.filter("id < 5"))
+    got = stored.column(asked, "k").collect()
+    assert sorted(r["id"] for r in got) == sorted([*range(6010), *range(5)])
+    assert all(r["maybe"] for r in got if r["id"] < 3000)
+    assert sum(r["maybe"] for r in got if 3000 <= r["id"] < 6000) < 90
+    assert not any(r["maybe"] for r in got if r["id"] >= 6000)
